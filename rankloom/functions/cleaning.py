@@ -252,10 +252,3 @@ def nfc_newlines(text: Column) -> Column:
     """Unicode NFC with CRLF and CR turned into LF."""
     return F.regexp_replace(_nfc(text), F.lit("\r\n?"), F.lit("\n"))
 
-
-def drop_undecodable(raw: Column) -> Column:
-    """UTF-8 bytes to text, leaving out what does not decode.
-
-    ``make_valid_utf8`` marks each bad sequence with U+FFFD.
-    """
-    return F.translate(F.make_valid_utf8(raw.cast("string")), "\ufffd", "")

@@ -98,15 +98,11 @@ def perplexity(
     )
     bigrams = pairs.groupBy("w1", "w2").agg(F.sum("n").alias("c12"))
     firsts = bigrams.groupBy("w1").agg(F.sum("c12").alias("c1"))
-    # sum(c12) keeps the column, so that all uses share one exchange.
-    seconds = bigrams.groupBy("w2").agg(F.sum("c12").alias("c2"))
-    vocabulary = (
-        firsts.select(F.col("w1").alias("w"))
-        .union(seconds.select("w2"))
-        .distinct()
-        .agg(F.count(F.lit(1)).alias("v"))
-        .scalar()
-    )
+    # Counting through c12 keeps it in this branch: all uses of the bigrams
+    # are then the same exchange, and the texts are read only once.
+    seen = bigrams.select(F.explode(F.array("w1", "w2")).alias("w"), "c12")
+    seen = seen.groupBy("w").agg(F.sum("c12").alias("c"))
+    vocabulary = seen.agg(F.count_if(F.col("c") > 0).alias("v")).scalar()
     model = bigrams.join(firsts, "w1").select(
         "w1", "w2",
         F.log((F.col("c12") + smoothing) / (F.col("c1") + vocabulary * smoothing)).alias("lp"),

@@ -16,7 +16,7 @@ def decoded(raw: Column) -> Column:
     text = raw.cast("string")
     # make_valid_utf8 puts U+FFFD in place of each bad sequence.
     text = F.when(F.is_valid_utf8(text), text).otherwise(
-        F.translate(F.make_valid_utf8(text), "�", "")
+        F.translate(F.make_valid_utf8(text), "\ufffd", "")
     )
     return F.regexp_replace(text, F.lit("\r\n?"), F.lit("\n"))
 
@@ -43,12 +43,13 @@ def question_bank_scan(spark: SparkSession, path: str, schema: str = schemas.QUE
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def span_corpus_scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def span_corpus_scan(
+    spark: SparkSession, folder: str, pattern: str = "*.json"
+) -> tuple[DataFrame, DataFrame]:
     """Annotated documents, one JSON object per file, and the unreadable files."""
     rows = spark.read.schema(schemas.ANNOTATED + ", _bad string").json(
-        folder, multiLine=True, columnNameOfCorruptRecord="_bad", pathGlobFilter="*.json"
+        folder, multiLine=True, columnNameOfCorruptRecord="_bad", pathGlobFilter=pattern
     ).withColumn("file", F.col("_metadata.file_name"))
-    # Spark wants more than the corrupt column read: file comes along.
     good = rows.where(F.col("_bad").isNull()).drop("_bad")
     return good, rows.where(F.col("_bad").isNotNull()).select("file", "_bad")
 
