@@ -24,6 +24,7 @@ from rankloom.operators import (
     text_stats,
 )
 from rankloom.plans.entities import Entities, now
+from rankloom.plans.flagship import shortlist_by_match
 from rankloom.session import new_table_path
 from rankloom.sources import readers, sinks
 from rankloom.streaming import activity as live
@@ -53,6 +54,9 @@ def _list(column) -> Column:
     return F.array_join(column, "|")
 
 
+query(shortlist_by_match)
+
+
 # ---- scans, sources, sinks ----------------------------------------------
 
 
@@ -124,7 +128,7 @@ def span_corpus_scan(e):
 def _span_corpus(spark, path):
     good, bad = readers.span_corpus_scan(spark, path, pattern="*")
     return good.select("text", F.size("annotations").alias("spans"), F.lit("read").alias("status")).union(
-        bad.select(F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit("unreadable"))
+        bad.select("text", F.lit(None).cast("int"), F.lit("unreadable"))
     )
 
 

@@ -51,7 +51,8 @@ def span_corpus_scan(
         folder, multiLine=True, columnNameOfCorruptRecord="_bad", pathGlobFilter=pattern
     ).withColumn("file", F.col("_metadata.file_name"))
     good = rows.where(F.col("_bad").isNull()).drop("_bad")
-    return good, rows.where(F.col("_bad").isNotNull()).select("file", "_bad")
+    # Spark reads the corrupt-record column only beside a parsed one.
+    return good, rows.where(F.col("_bad").isNotNull()).select("file", "text", "_bad")
 
 
 def span_jsonl_scan(spark: SparkSession, path: str) -> DataFrame:
