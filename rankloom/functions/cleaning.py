@@ -11,6 +11,7 @@ space, word characters and digits exactly as Python's ``re`` does on ``str``.
 from __future__ import annotations
 
 import string
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -245,7 +246,14 @@ def chunk_words(text: Column, max_words: int = CHUNK_WORDS) -> Column:
 
 @F.arrow_udf(StringType())
 def _nfc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFC")
+    """ASCII texts are in normal form already and pass through."""
+    plain = pc.string_is_ascii(text)
+    if pc.all(plain, min_count=0).as_py():
+        return text
+    return pa.array(
+        [t if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()],
+        pa.string(),
+    )
 
 
 def nfc_newlines(text: Column) -> Column:

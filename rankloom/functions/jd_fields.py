@@ -85,7 +85,7 @@ def jd_title(text: Column) -> Column:
 
     def usable(line: Column) -> Column:
         # Three characters, one of them neither a symbol nor a digit.
-        return _only_if(line, r"(?U)^.{3}.*$)(?=.*?[\w&&[^\d]]")
+        return _only_if(_only_if(line, r"^.{3}"), r"(?U)[\w&&[^\d]]")
 
     lines = [usable(first_line(hit)) for hit in _hits(text, TITLE_PATTERNS)]
     return _without_tail(F.coalesce(*lines), r"[!.,;:]+$")

@@ -62,56 +62,58 @@ BEST_CHUNKS = ArrayType(
 )
 
 
-def _unit_rows(flat: np.ndarray, rows: int) -> np.ndarray:
-    matrix = flat.reshape(rows, -1).astype(np.float64)
-    length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+def _unit_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All vectors of a batch as unit rows (zero vectors as NaN), with the
+    number of vectors and the first row of each list."""
+    vectors = lists.flatten()
+    counts = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
+    length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
     length[length == 0] = np.nan
-    return matrix / length[:, None]
+    return rows / length[:, None], counts, np.cumsum(counts) - counts
 
 
 @F.arrow_udf(BEST_CHUNKS)
 def best_chunks(wanted: pa.Array, offered: pa.Array) -> pa.Array:
     """Per row: for each vector of ``wanted`` the closest vector of ``offered``.
 
-    Both are lists of equally long vectors. One small matrix product per row,
-    so no pair of chunks ever becomes a row of its own. The first of equally
-    close vectors wins; a comparison with a zero vector yields NULL.
+    Both are lists of equally long vectors. Rows with lists of the same lengths
+    share one matrix product, and no pair of chunks ever becomes a row of its
+    own. The first of equally close vectors wins; a comparison with a zero
+    vector yields NULL, as does a row without vectors on either side.
     """
-
-    def shape(lists: pa.Array):
-        vectors = lists.flatten()
-        flat = vectors.flatten().to_numpy(zero_copy_only=False)
-        counts = np.asarray(lists.value_lengths().fill_null(0))
-        ends = np.cumsum(counts)
-        width = len(flat) // len(vectors) if len(vectors) else 0
-        return flat, counts, ends - counts, width
-
-    flat_w, count_w, start_w, width = shape(wanted)
-    flat_o, count_o, start_o, width_o = shape(offered)
-    if width and width_o and width != width_o:
-        raise ValueError(f"vectors of {width} and {width_o} elements compared")
-    out = []
-    for cw, sw, co, so in zip(count_w, start_w, count_o, start_o, strict=True):
-        if cw == 0 or co == 0:
-            out.append(None)
-            continue
-        w = _unit_rows(flat_w[sw * width:(sw + cw) * width], cw)
-        o = _unit_rows(flat_o[so * width:(so + co) * width], co)
-        similar = w @ o.T
-        filled = np.where(np.isnan(similar), -np.inf, similar)
-        best = filled.argmax(axis=1)
-        top = filled[np.arange(cw), best]
-        low = np.where(np.isnan(similar), np.inf, similar).min(axis=1)
-        total = np.nansum(similar, axis=1)
-        out.append(
-            [
-                {"resume_chunk": int(b), "similarity": float(t), "lowest": float(m), "total": float(s)}
-                if t > -np.inf
-                else {"resume_chunk": None, "similarity": None, "lowest": None, "total": None}
-                for b, t, m, s in zip(best, top, low, total, strict=True)
-            ]
-        )
-    return pa.array(out, type=pa.list_(pa.struct([
-        ("resume_chunk", pa.int32()), ("similarity", pa.float64()),
-        ("lowest", pa.float64()), ("total", pa.float64()),
-    ])))
+    w, count_w, start_w = _unit_rows(wanted)
+    o, count_o, start_o = _unit_rows(offered)
+    if len(w) and len(o) and w.shape[1] != o.shape[1]:
+        raise ValueError(f"vectors of {w.shape[1]} and {o.shape[1]} elements compared")
+    used = (count_w > 0) & (count_o > 0)
+    out_count = np.where(used, count_w, 0)
+    out_start = np.cumsum(out_count) - out_count
+    total = int(out_count.sum())
+    best = np.zeros(total, dtype=np.int32)
+    top, low, mass = np.empty(total), np.empty(total), np.empty(total)
+    shapes = count_w * (count_o.max(initial=0) + 1) + count_o
+    for shape in np.unique(shapes[used]):
+        rows = np.flatnonzero(used & (shapes == shape))
+        cw, co = int(count_w[rows[0]]), int(count_o[rows[0]])
+        left = w[start_w[rows][:, None] + np.arange(cw)]
+        right = o[start_o[rows][:, None] + np.arange(co)]
+        similar = np.matmul(left, right.transpose(0, 2, 1))
+        at = (out_start[rows][:, None] + np.arange(cw)).ravel()
+        blank = np.isnan(similar)
+        best[at] = np.where(blank, -np.inf, similar).argmax(axis=2).ravel()
+        top[at] = np.where(blank, -np.inf, similar).max(axis=2).ravel()
+        low[at] = np.where(blank, np.inf, similar).min(axis=2).ravel()
+        mass[at] = np.where(blank, 0.0, similar).sum(axis=2).ravel()
+    nothing = np.isneginf(top)
+    fields = [
+        pa.array(best, pa.int32(), mask=nothing),
+        pa.array(top, pa.float64(), mask=nothing),
+        pa.array(low, pa.float64(), mask=nothing),
+        pa.array(mass, pa.float64(), mask=nothing),
+    ]
+    hits = pa.StructArray.from_arrays(fields, [f.name for f in BEST_CHUNKS.elementType])
+    offsets = np.append(out_start, total)
+    ends = pa.array(offsets, pa.int32(), mask=np.append(~used, False))
+    return pa.ListArray.from_arrays(ends, hits)

@@ -26,8 +26,12 @@ def _matched(applications: DataFrame, job_vectors: DataFrame, resume_vectors: Da
     resumes = resume_vectors.select(
         F.col("doc_id").alias("resume_id"), F.col("vectors").alias("_offered")
     )
+    # An application is a few numbers, comparing its texts is the work: spread
+    # them evenly, however many share a job or a resume.
+    tasks = int(applications.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        applications.join(resumes, "resume_id", "left")
+        applications.repartition(tasks, "app_id")
+        .join(resumes, "resume_id", "left")
         .join(jobs, "jd_id", "left")
         .withColumn("_best", best_chunks("_wanted", "_offered"))
         .drop("_wanted", "_offered")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.categories import WEIGHTS
 from rankloom.operators.matching import chunk_lists
 from rankloom.operators.skills import gazetteer
+from rankloom.session import spread
 from rankloom.sources.readers import entity_scan
 
 NOW = "1998-08-02 00:00:00"
@@ -179,7 +180,7 @@ class Entities:
     # texts
 
     def documents(self) -> DataFrame:
-        return self.table("documents").select("doc_id", "text", "lang", "source")
+        return spread(self.table("documents").select("doc_id", "text", "lang", "source"))
 
     def skill_phrases(self) -> DataFrame:
         return gazetteer(self._phrases(), "phrase")
@@ -241,7 +242,7 @@ class Entities:
         for i, layout in enumerate(layouts):
             chosen = F.when(key % len(layouts) == i, layout).otherwise(chosen)
         return (
-            self.table("part")
+            spread(self.table("part"))
             .withColumns({"item_id": key % n, "n_nationkey": (key % 25).cast("int")})
             .join(prose, "item_id")
             .join(nation, "n_nationkey")

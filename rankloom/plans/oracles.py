@@ -397,9 +397,11 @@ GAZ = f"""phrases AS (SELECT lower(p_name) AS skill FROM part UNION SELECT lower
 gaz AS (SELECT skill, {_tokens('skill')} AS pt FROM phrases)"""
 SKILL_HITS = f"""ctext AS MATERIALIZED (SELECT doc_id, wanted, {t6('text')} AS text FROM skilltexts),
 toks AS MATERIALIZED (SELECT doc_id, {_tokens('text')} AS t FROM ctext),
-grams AS (SELECT doc_id, i, n, t[i:i + n - 1] AS g FROM toks, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i), (VALUES (1), (2), (3), (4)) s(n)
-  WHERE i + n - 1 <= len(t)),
-hits AS MATERIALIZED (SELECT doc_id, skill, count(*) AS hits FROM grams JOIN gaz ON pt = g GROUP BY 1, 2),
+tok AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS t1 FROM toks),
+win AS (SELECT *, lead(t1, 1) OVER w AS t2, lead(t1, 2) OVER w AS t3, lead(t1, 3) OVER w AS t4 FROM tok
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+hits AS MATERIALIZED (SELECT doc_id, skill, count(*) AS hits FROM win JOIN gaz ON pt[1] = t1
+  AND (len(pt) < 2 OR pt[2] = t2) AND (len(pt) < 3 OR pt[3] = t3) AND (len(pt) < 4 OR pt[4] = t4) GROUP BY 1, 2),
 pool AS (SELECT doc_id, wanted, coalesce(s, []) AS skills FROM ctext
   LEFT JOIN (SELECT doc_id, list(skill ORDER BY skill) AS s FROM hits GROUP BY 1) USING (doc_id))"""
 SKILL_CTES = (SKILLTEXTS, GAZ, SKILL_HITS)
@@ -464,7 +466,7 @@ _DIST = "sqrt(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - 0.5 * p[
 ORACLES["vector_match"] = _with(VECS, ORDER_PAIRS) + (
     f"SELECT o_orderkey, round(d, 6) AS distance, d < 0.6 AS is_match FROM (SELECT o_orderkey, {_DIST} AS d FROM opairs)"
 )
-V_RANKED = _ranked("vscores", "job_id", "score", "app_id")
+V_RANKED = _ranked("vscores", "job_id", "round(score, 9)", "app_id")
 ORACLES["shortlist_by_match"] = _with(VECS, VAPPS, PAIRS, SCORES, V_RANKED) + (
     f"SELECT job_id, rank, app_id, round(score, 6) AS score, group_rows FROM ranked WHERE {TOP}"
 )
@@ -592,7 +594,7 @@ FROM orders LEFT JOIN results ON answer_id = o_orderkey"""
 ORACLES["weights_dim"] = _with(QUESTIONS, WEIGHTS_CTE) + """SELECT w.category, w.question_type, w.weight, s AS category_sum, count(question_id) AS questions
 FROM weights w JOIN (SELECT category, round(sum(weight), 6) AS s FROM weights GROUP BY 1) USING (category)
 LEFT JOIN questions q ON q.category = w.category AND q.question_type = w.question_type GROUP BY ALL"""
-ORACLES["composite_rank"] = _with(APPS, JOBS) + """SELECT job_id, rank, app_id, round(f, 6) AS final_score FROM (
+ORACLES["composite_rank"] = _with(APPS, JOBS) + """SELECT job_id, rank, app_id, round(f, 10) AS final_score FROM (
 SELECT job_id, app_id, f, row_number() OVER (PARTITION BY job_id ORDER BY f DESC, app_id) AS rank FROM (
 SELECT job_id, app_id, 0.30::DOUBLE * (score / 500000) + 0.20::DOUBLE * coalesce(o, 0) + 0.20::DOUBLE * coalesce(s, 0)
   + CASE WHEN job_title = 'MACHINERY Engineer' THEN 0 ELSE 0.15::DOUBLE END * coalesce(a, 0)

@@ -25,7 +25,7 @@ from rankloom.operators import (
 )
 from rankloom.plans.entities import Entities, now
 from rankloom.plans.flagship import shortlist_by_match
-from rankloom.session import new_table_path
+from rankloom.session import new_table_path, spread
 from rankloom.sources import readers, sinks
 from rankloom.streaming import activity as live
 from rankloom.streaming import applications as live_apps
@@ -424,7 +424,7 @@ def _vector_pairs(e: Entities) -> DataFrame:
     own = e.table("embeddings").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
     other = e.table("embeddings").select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
     return (
-        e.table("orders")
+        spread(e.table("orders"))
         .select("o_orderkey", (F.col("o_orderkey") % n).alias("a_id"), (F.col("o_custkey") % n).alias("b_id"))
         .join(own, "a_id")
         .join(other, "b_id")
@@ -499,8 +499,8 @@ def candidate_answers(e):
     return relations.candidate_answers(_logged_candidates(e), bridge, answers)
 
 
-def _weighted(e: Entities) -> tuple[DataFrame, DataFrame]:
-    return relations.answer_question_weight(e.answers(), e.questions(), cat.weights_dim(e.spark))
+def _weighted(e: Entities, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return relations.answer_question_weight(answers or e.answers(), e.questions(), cat.weights_dim(e.spark))
 
 
 @query
@@ -565,7 +565,7 @@ def flag_counts(e):
 
 
 def _answer_rows(e: Entities) -> DataFrame:
-    weighted, _ = _weighted(e)
+    weighted, _ = _weighted(e, spread(e.answers()))
     n = e.table("embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
     reference = e.table("embeddings").select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("reference_vector"))
     given = e.table("embeddings").select(F.col("vec_id").alias("g_id"), F.col("embedding").alias("answer_vector"))
@@ -731,7 +731,7 @@ def composite_rank(e):
         "role string, part string, weight double",
     )
     ranked = scoring.composite_rank(parts, "job_id", "app_id", weights)
-    return ranked.select("job_id", "rank", "app_id", _r("final_score").alias("final_score"))
+    return ranked.select("job_id", "rank", "app_id", _r("final_score", 10).alias("final_score"))
 
 
 # ---- models and text statistics ----------------------------------------------

@@ -54,3 +54,16 @@ def written(df, name: str):
     path = new_table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_INPUT = 1 << 30
+
+
+def spread(df):
+    """A small input over all cores. Files of a single row group come as one
+    task; up to a gigabyte, shuffling costs little beside work on texts and
+    vectors. Larger inputs come in enough pieces and stay as they are."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(plan.stats().sizeInBytes()) > SMALL_INPUT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
