@@ -28,6 +28,9 @@ def terms(text: Column) -> Column:
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     exploded = docs.select("doc_id", F.explode(terms(F.col(text))).alias("term"))
+    # The joins further on ask for non-null keys. Asked for here already, the
+    # counts are the same sub-plan wherever they are used.
+    exploded = exploded.where("doc_id is not null and term is not null")
     return exploded.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -93,6 +96,7 @@ def perplexity(
     """
     pairs = (
         docs.select("doc_id", F.inline(_bigrams(F.col(text), max_tokens)))
+        .where("doc_id is not null and w1 is not null and w2 is not null")
         .groupBy("doc_id", "w1", "w2")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -25,7 +25,7 @@ from rankloom.operators import (
 )
 from rankloom.plans.entities import Entities, now
 from rankloom.plans.flagship import shortlist_by_match
-from rankloom.session import new_table_path, spread
+from rankloom.session import new_table_path, spread, written
 from rankloom.sources import readers, sinks
 from rankloom.streaming import activity as live
 from rankloom.streaming import applications as live_apps
@@ -599,14 +599,13 @@ def tfidf(e):
     return text_stats.tfidf(_clean_documents(e)).select("doc_id", "term", _r("weight").alias("weight"))
 
 
-def _stuffing(e: Entities) -> DataFrame:
-    docs = _clean_documents(e)
+def _stuffing(docs: DataFrame) -> DataFrame:
     return text_stats.stuffing_flag(docs, text_stats.tfidf(docs))
 
 
 @query
 def stuffing_flag(e):
-    return _stuffing(e)
+    return _stuffing(_clean_documents(e))
 
 
 # ---- rankings ---------------------------------------------------------------
@@ -626,7 +625,9 @@ def top_jobs_by_date(e):
 def job_ranking(e):
     docs = e.table("documents").agg(F.count(F.lit(1)).alias("n")).scalar()
     apps = e.applications().withColumn("doc_id", F.col("app_id") % docs)
-    ranked = ranking.job_ranking(apps, _stuffing(e), _generated(e), _pool(e))
+    # The cleaned texts serve two flags: cleaned and stored once.
+    stored = written(_clean_documents(e).select("doc_id", "text"), "clean-texts")
+    ranked = ranking.job_ranking(apps, _stuffing(stored), _generated(stored), _pool(e))
     return ranked.select("job_id", "rank", "app_id", "score", "is_suspicious", "is_suspicious_ai", _list("skills").alias("skills"))
 
 
@@ -751,22 +752,19 @@ def label_decode(e):
     return e.table("embeddings").select("vec_id", cat.label_decode(F.col("label") % 7).alias("category"))
 
 
-def _perplexity(e: Entities) -> DataFrame:
-    return text_stats.perplexity(_clean_documents(e))
-
-
-def _generated(e: Entities) -> DataFrame:
-    return text_stats.generated_text_flag(_perplexity(e), limit=1000.0)
+def _generated(docs: DataFrame) -> DataFrame:
+    return text_stats.generated_text_flag(text_stats.perplexity(docs), limit=1000.0)
 
 
 @query
 def perplexity(e):
-    return _perplexity(e).select("doc_id", _r("perplexity", 4).alias("perplexity"))
+    scored = text_stats.perplexity(_clean_documents(e))
+    return scored.select("doc_id", _r("perplexity", 4).alias("perplexity"))
 
 
 @query
 def generated_text_flag(e):
-    return _generated(e).select("doc_id", "is_suspicious_ai")
+    return _generated(_clean_documents(e)).select("doc_id", "is_suspicious_ai")
 
 
 @query
