@@ -337,7 +337,9 @@ def skill_match(e):
 
 
 def _pool(e: Entities) -> DataFrame:
-    return skills.skill_pool(_clean_skill_texts(e), e.skill_phrases())
+    # Read twice, for the tokens and for the list of texts: cleaned and stored once.
+    stored = written(_clean_skill_texts(e).select("doc_id", "text"), "skill-texts")
+    return skills.skill_pool(stored, e.skill_phrases())
 
 
 @query
