@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -67,7 +68,8 @@ _W = f"[{WORD}]"
 _HANDLE = f"[{WORD}-]"
 _D = r"\p{Nd}"
 _START, _END = f"(?<!{_W})", f"(?!{_W})"
-# A digit (or letter) is looked for before the costlier look-behind.
+# The digit (or letter) is looked for before the costlier look-behind.
+_FIRST_DIGIT = f"{_D}(?<!{_W}{_D})"
 _DIGIT_START = f"(?={_D}){_START}"
 _LETTER_START = rf"(?iu)(?=\p{{L}}){_START}"
 
@@ -81,16 +83,16 @@ _IDENTIFIERS = (
     rf"linkedin\.com/in/{_HANDLE}+",
     rf"@{_HANDLE}+",
     rf"\+?{_D}{{1,3}}[-.{WS}]?\(?{_D}{{2,4}}\)?[-.{WS}]?{_D}{{3,4}}[-.{WS}]?{_D}{{3,4}}",
-    rf"{_DIGIT_START}{_D}{{10,15}}{_END}",
+    rf"{_FIRST_DIGIT}{_D}{{9,14}}{_END}",
 )
 _MONTH_DAY = rf"(?:{MONTHS})[a-z]*{_S}+{_D}{{1,2}},?{_S}+{_D}{{4}}"
 _DATES = (
     rf"{_DIGIT_START}(?:19|20){_D}{{2}}{_END}",
-    rf"{_DIGIT_START}{_D}{{1,2}}[/-]{_D}{{1,2}}[/-]{_D}{{2,4}}{_END}",
+    rf"{_FIRST_DIGIT}{_D}?[/-]{_D}{{1,2}}[/-]{_D}{{2,4}}{_END}",
     rf"{_LETTER_START}(?:{_MONTH_DAY}){_END}",
 )
 _STATUS = rf"{_LETTER_START}(?:{STATUS_WORDS}){_END}"
-_ZIP = rf"{_DIGIT_START}{_D}{{5}}(?:-{_D}{{4}})?{_END}"
+_ZIP = rf"{_FIRST_DIGIT}{_D}{{4}}(?:-{_D}{{4}})?{_END}"
 
 
 def _title_alternation() -> str:
@@ -151,10 +153,10 @@ _DROPPED = (
 _NOT_KEPT = f"[{_DROPPED}]+"
 # The same with white space: any run of it but a single blank.
 _OTHER_WS = r"\t\x0a\x0b\x0c\r\x1c\x1d\x1e\x1f"
-_GAPS = rf"[ {_OTHER_WS}{_DROPPED}]{{2,}}|[{_OTHER_WS}{_DROPPED}]"
+_GAPS = rf"[ {_OTHER_WS}{_DROPPED}](?:[ {_OTHER_WS}{_DROPPED}]+|(?<! ))"
 _ASCII_S = r"[\t-\r\x1c-\x20]"
 _TIGHTEN = (("'", "'"), ("-", "-"), (".", ". "), (",", ", "), ("?", "? "), ("!", "! "))
-_NUMBER = r"(?=[0-9])(?<![A-Za-z0-9_])[0-9]+(?:\.[0-9]+)?(?![A-Za-z0-9_])"
+_NUMBER = r"[0-9](?<![A-Za-z0-9_].)[0-9]*(?:\.[0-9]+)?(?![A-Za-z0-9_])"
 
 
 def _blank_out(text: Column, *patterns: str) -> Column:
@@ -163,6 +165,16 @@ def _blank_out(text: Column, *patterns: str) -> Column:
     return text
 
 
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _if_holds(text: Column, test: Callable[[Column], Column], *patterns: str) -> Column:
+    """Run the passes only over texts that can match; the test is far cheaper."""
+    return _bound(text, lambda t: F.when(test(t), _blank_out(t, *patterns)).otherwise(t))
+
+
 def py_strip(text: Column) -> Column:
     """Strip Unicode white space from both ends."""
     return F.btrim(text, F.lit(WS_CHARS))
@@ -173,10 +185,25 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{_S}+"), lambda w: w != "")
 
 
+def _without_identifiers(text: Column, *dates: str) -> Column:
+    """Lower-cased text without addresses, links, handles, numbers and dates."""
+    email, link, github, linkedin, handle, *numbers = _IDENTIFIERS
+
+    def has_at(t: Column) -> Column:
+        return t.contains("@")
+
+    text = _if_holds(F.lower(text), has_at, email)
+    text = _if_holds(text, lambda t: t.contains("http") | t.contains("www."), link)
+    text = _if_holds(text, lambda t: t.contains(".com/"), github, linkedin)
+    text = _if_holds(text, has_at, handle)
+    return _if_holds(text, lambda t: t.rlike(_D), *numbers, *dates, _ZIP)
+
+
 def pii_strip(text: Column) -> Column:
     """Lower-case, then blank out addresses, links, handles, phone numbers,
-    dates, status words and postal codes, in that order."""
-    return _blank_out(F.lower(text), *_IDENTIFIERS, *_DATES, _STATUS, _ZIP)
+    dates, postal codes and status words. The status words, which share no
+    characters with a postal code, come last."""
+    return _blank_out(_without_identifiers(text, *_DATES), _STATUS)
 
 
 def section_header_strip(text: Column) -> Column:
@@ -195,18 +222,19 @@ def ascii_punct_normalise(text: Column) -> Column:
     text = _blank_out(text, _NOT_KEPT)
     for mark, into in _TIGHTEN:
         text = F.regexp_replace(
-            text, F.lit(rf"{_ASCII_S}+\Q{mark}\E{_ASCII_S}+"), F.lit(into)
+            text, F.lit(rf"(?<!{_ASCII_S}){_ASCII_S}++\Q{mark}\E{_ASCII_S}+"), F.lit(into)
         )
     return py_strip(_blank_out(text, _NUMBER, f"{_ASCII_S}+"))
 
 
+def _long_words(words_: Column) -> Column:
+    short = [w for w in SHORT_WORDS if len(w) == 1]
+    return F.array_join(F.filter(words_, lambda w: (F.length(w) > 1) | w.isin(*short)), " ")
+
+
 def short_token_filter(text: Column) -> Column:
     """Drop one-character words other than the short technical names."""
-    kept = F.filter(
-        F.split(text, f"{_S}+"),
-        lambda w: (F.length(w) > 1) | w.isin(*[s for s in SHORT_WORDS if len(s) == 1]),
-    )
-    return F.array_join(kept, " ")
+    return _long_words(F.split(text, f"{_S}+"))
 
 
 def clean_text(text: Column) -> Column:
@@ -218,13 +246,12 @@ def clean_text(text: Column) -> Column:
     runs survive the ASCII stage's own character class. With every gap a single
     blank, tightening is a literal replacement.
     """
-    *numeric_dates, _ = _DATES
-    text = _blank_out(
-        F.lower(text), *_IDENTIFIERS, *numeric_dates, _ZIP, _LOWER_WORDS, "-{3,}", _GAPS
-    )
+    year, numeric_date, _ = _DATES
+    text = _without_identifiers(text, year, numeric_date)
+    text = _blank_out(text, _LOWER_WORDS, "-{3,}", _GAPS)
     for mark, into in _TIGHTEN:
         text = F.replace(text, F.lit(f" {mark} "), F.lit(into))
-    return short_token_filter(_blank_out(text, _NUMBER))
+    return _long_words(F.split(_blank_out(text, _NUMBER), " "))
 
 
 def chunk_words(text: Column, max_words: int = CHUNK_WORDS) -> Column:
@@ -239,9 +266,7 @@ def chunk_words(text: Column, max_words: int = CHUNK_WORDS) -> Column:
         )
         return F.when(F.size(w) > 0, cut).otherwise(F.array().cast("array<string>"))
 
-    # One-element transform: binds the word list once for its several uses.
-    bound = F.transform(F.array(words(text)), blocks)
-    return F.when(text.isNotNull(), F.element_at(bound, 1))
+    return F.when(text.isNotNull(), _bound(words(text), blocks))
 
 
 @F.arrow_udf(StringType())

@@ -113,7 +113,9 @@ def jd_body(text: Column) -> Column:
     that is neither blank nor metadata; else the whole text."""
     header = _java(*BODY_HEADER)
     after_header = F.regexp_extract(text, header + r"([\s\S]*)", 1)
-    metadata = _java(*METADATA_LINE)
+    # The repeated group made possessive, to the same effect: it then loops
+    # instead of recursing, so that a line may hold any number of bars.
+    metadata = _java(*METADATA_LINE).replace(r"(?:\|[^\|]+){2,}", r"(?:\|[^\|]++){2,}+")
 
     def from_prose(lines: Column) -> Column:
         prose = F.transform(

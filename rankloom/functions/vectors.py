@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 MATCH_DISTANCE = 0.6  # fixed value: two descriptors closer than this match
+BLOCK = 4_000_000  # numbers per matrix product, 32 MB
 
 
 def _doubles(vector: Column) -> Column:
@@ -74,6 +75,15 @@ def _unit_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows / length[:, None], counts, np.cumsum(counts) - counts
 
 
+def _same_shape(shapes: np.ndarray, used: np.ndarray, numbers: np.ndarray):
+    """Row numbers by shape, in portions of about BLOCK numbers."""
+    for shape in np.unique(shapes[used]):
+        rows = np.flatnonzero(used & (shapes == shape))
+        step = max(1, BLOCK // int(numbers[rows[0]]))
+        for at in range(0, len(rows), step):
+            yield rows[at:at + step]
+
+
 @F.arrow_udf(BEST_CHUNKS)
 def best_chunks(wanted: pa.Array, offered: pa.Array) -> pa.Array:
     """Per row: for each vector of ``wanted`` the closest vector of ``offered``.
@@ -94,8 +104,7 @@ def best_chunks(wanted: pa.Array, offered: pa.Array) -> pa.Array:
     best = np.zeros(total, dtype=np.int32)
     top, low, mass = np.empty(total), np.empty(total), np.empty(total)
     shapes = count_w * (count_o.max(initial=0) + 1) + count_o
-    for shape in np.unique(shapes[used]):
-        rows = np.flatnonzero(used & (shapes == shape))
+    for rows in _same_shape(shapes, used, (count_w + count_o) * max(w.shape[1], 1)):
         cw, co = int(count_w[rows[0]]), int(count_o[rows[0]])
         left = w[start_w[rows][:, None] + np.arange(cw)]
         right = o[start_o[rows][:, None] + np.arange(co)]

@@ -55,8 +55,12 @@ def final_deadline(deadline: Column) -> Column:
     return deadline + F.make_dt_interval(days=F.lit(FINAL_DEADLINE_DAYS))
 
 
-def invite_rows(selected: DataFrame, jobs: DataFrame, users: DataFrame, link_base: str) -> DataFrame:
-    """One message per selected application (``job_id``, ``user_id``)."""
+def invite_rows(
+    selected: DataFrame, jobs: DataFrame, users: DataFrame, link_base: str,
+    reason: str = "You have been selected to take a test for the job",
+) -> DataFrame:
+    """One message per selected application (``job_id``, ``user_id``). To write
+    to every applicant, pass all applications and a reason to match."""
     link = F.format_string("%s/%s/%s", F.lit(link_base), F.col("user_id"), F.col("job_id"))
     return (
         selected.join(jobs.select("job_id", "job_title"), "job_id")
@@ -68,8 +72,8 @@ def invite_rows(selected: DataFrame, jobs: DataFrame, users: DataFrame, link_bas
             F.col("email").alias("recipient"),
             F.concat(F.lit("Test Invitation for "), "job_title").alias("subject"),
             F.format_string(
-                "Dear %s,\n\nYou have been selected to take a test for the job: %s.\n\nLink: %s",
-                F.col("username"), F.col("job_title"), link,
+                "Dear %s,\n\n%s: %s.\n\nLink: %s",
+                F.col("username"), F.lit(reason), F.col("job_title"), link,
             ).alias("message"),
         )
     )

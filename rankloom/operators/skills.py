@@ -25,7 +25,10 @@ INNER = (
 # ---- end of fixed values ------------------------------------------------
 
 _LEADING = rf"(?:(?<![^{WS}])|\G(?<=[{EDGE}]))[{EDGE}]"
-_TRAILING = rf"[{EDGE}.](?=[{EDGE}.]*(?![^{WS}]))"
+# Looks ahead once per run of punctuation, then goes on from hit to hit.
+_TRAILING = (
+    rf"(?:(?<![{EDGE}.])(?=[{EDGE}.]++(?![^{WS}]))|\G(?<=[{EDGE}.]))[{EDGE}.]"
+)
 
 
 def tokenise(text: Column) -> Column:

@@ -566,6 +566,8 @@ LEFT JOIN stuffed USING (doc_id) LEFT JOIN gen USING (doc_id) LEFT JOIN pool USI
 ORACLES["shortlist_top_fraction"] = _with(APPS, APP_RANKED) + (
     f"SELECT job_id, rank, app_id, score, group_rows FROM ranked WHERE {TOP}"
 )
+ORACLES["empty_guard"] = _with(APPS, APP_RANKED) + f"""SELECT c_custkey AS job_id, count(app_id) AS selected FROM customer
+LEFT JOIN (SELECT job_id, app_id FROM ranked WHERE {TOP}) ON job_id = c_custkey GROUP BY 1"""
 CAND_RANKED = _ranked("cands", "job_id", "total_score", "candidate_id", "NOT final_email_sent")
 ORACLES["final_selection"] = _with(CANDS, CAND_RANKED) + (
     f"SELECT job_id, rank, candidate_id, total_score, group_rows FROM ranked WHERE {TOP}"

@@ -639,6 +639,17 @@ def shortlist_top_fraction(e):
     return top.select("job_id", "rank", "app_id", "score", "group_rows")
 
 
+@query
+def empty_guard(e):
+    """Selected applications per job: none where nobody applied."""
+    top = ranking.shortlist_top_fraction(e.applications()).groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return e.jobs().select("job_id").join(top, "job_id", "left").select(
+        "job_id", F.coalesce("n", F.lit(0).cast("long")).alias("selected")
+    )
+
+
 @query
 def final_selection(e):
     top = ranking.final_selection(e.candidates())
@@ -733,6 +744,8 @@ def composite_rank(e):
         [("MACHINERY Engineer", "programming", 0.30), ("MACHINERY Engineer", "aptitude", 0.0)],
         "role string, part string, weight double",
     )
+    # Partial scores are stored as they come in; the ranking counts and reads them.
+    parts = written(parts.drop("l_orderkey"), "partial-scores")
     ranked = scoring.composite_rank(parts, "job_id", "app_id", weights)
     return ranked.select("job_id", "rank", "app_id", _r("final_score", 10).alias("final_score"))
 

@@ -44,6 +44,8 @@ CASES = [
     ("body", "a\r\nOverview\nrest", "rest"),
     ("body", "| a | b |\nprose\x0bnext", "prose\nnext"),
     ("body", "Overview\n", ""),
+    ("body", "| a | b ||\nx", "| a | b ||\nx"),
+    ("body", "| a" * 20000 + "\nprose", "prose"),
 ]
 
 

@@ -22,6 +22,8 @@ from rankloom.plans.entities import Entities
         ("a,b 1,2 x:y 3:4 -x-", ["a", ",", "b", "1,2", "x", ":", "y", "3:4", "-x-"]),
         ("'((don't)).,", ["'", "(", "(", "don't", ")", ")", ".", ","]),
         ("...", [".", ".", "."]),
+        ("x..." + "." * 20000, ["x"] + ["."] * 20003),
+        ("a!b .a. (.b)", ["a!b", ".a", ".", "(", ".b", ")"]),
     ],
 )
 def test_tokens(spark, text, tokens):
