@@ -57,7 +57,9 @@ def best_chunk(applications: DataFrame, job_vectors: DataFrame, resume_vectors:
     """Per application and job chunk the resume chunk that answers it."""
     return (
         _matched(applications, job_vectors, resume_vectors)
-        .select("*", F.posexplode("_best").alias("jd_chunk", "_hit"))
+        # Outer, lest the optimizer tests the list's size by comparing twice.
+        .select("*", F.posexplode_outer("_best").alias("jd_chunk", "_hit"))
+        .where("jd_chunk is not null")
         .select("*", "_hit.resume_chunk", "_hit.similarity")
         .drop("_best", "_hit")
     )

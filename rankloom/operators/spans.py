@@ -114,11 +114,17 @@ def span_stats(repaired: DataFrame) -> DataFrame:
     )
 
 
+def repaired_rows(repaired: DataFrame, *keys: str) -> DataFrame:
+    """One row per span. The outer form keeps the optimizer from testing the
+    array's size first, which would repair every span twice."""
+    rows = repaired.select(*keys, F.posexplode_outer("repaired").alias("pos", "s"))
+    return rows.where("pos is not null")
+
+
 def rejected_sample(repaired: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The first rejected spans in file order."""
-    exploded = repaired.select("file", F.posexplode("repaired").alias("pos", "s"))
     return (
-        exploded.where("s.reason is not null")
+        repaired_rows(repaired, "file").where("s.reason is not null")
         .select("file", "pos", "s.label", "s.reason")
         .orderBy("file", "pos")
         .limit(rows)

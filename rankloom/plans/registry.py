@@ -383,7 +383,7 @@ def span_explode(e):
 
 @query
 def span_repair(e):
-    rows = spans.span_repair(e.span_items()).select("doc_id", F.posexplode("repaired").alias("pos", "s"))
+    rows = spans.repaired_rows(spans.span_repair(e.span_items()), "doc_id")
     return rows.select("doc_id", "pos", "s.start", "s.end", "s.label", "s.fixed", "s.reason")
 
 
@@ -410,7 +410,8 @@ def rejected_sample(e):
 def l2_normalise(e):
     v = F.transform(F.col("embedding"), lambda x: x * (F.col("vec_id") % 5).cast("float"))
     unit = e.table("embeddings").select("vec_id", vectors.l2_normalise(v).alias("u"))
-    return unit.select("vec_id", F.posexplode("u").alias("i", "x")).select("vec_id", "i", _r("x").alias("x"))
+    rows = unit.select("vec_id", F.posexplode_outer("u").alias("i", "x"))
+    return rows.select("vec_id", "i", _r("x").alias("x"))
 
 
 @query
