@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.cleaning import WS, words
+from rankloom.functions.cleaning import WS, py_strip, words
 
 # ---- fixed values -------------------------------------------------------
 # Punctuation that is a token of its own at either end of a word; a full stop
@@ -24,10 +24,12 @@ INNER = (
 )
 # ---- end of fixed values ------------------------------------------------
 
-_LEADING = rf"(?:(?<![^{WS}])|\G(?<=[{EDGE}]))[{EDGE}]"
+# Each starts with a cheap test that ordinary letters fail.
+_INNER = rf"(?=[-,:<>=/–—])(?:{INNER})"
+_LEADING = rf"(?=[{EDGE}])(?:(?<![^{WS}])|\G(?<=[{EDGE}]))[{EDGE}]"
 # Looks ahead once per run of punctuation, then goes on from hit to hit.
 _TRAILING = (
-    rf"(?:(?<![{EDGE}.])(?=[{EDGE}.]++(?![^{WS}]))|\G(?<=[{EDGE}.]))[{EDGE}.]"
+    rf"(?=[{EDGE}.])(?:(?<![{EDGE}.])(?=[{EDGE}.]++(?![^{WS}]))|\G(?<=[{EDGE}.]))[{EDGE}.]"
 )
 
 
@@ -35,7 +37,7 @@ def tokenise(text: Column) -> Column:
     """Lower-case tokens; ``node.js`` and ``.net`` stay whole, ``pci-dss`` is
     three tokens, ``python.`` is two."""
     text = F.lower(text)
-    text = F.regexp_replace(text, F.lit(INNER), F.lit(" $0 "))
+    text = F.regexp_replace(text, F.lit(_INNER), F.lit(" $0 "))
     text = F.regexp_replace(text, F.lit(_LEADING), F.lit("$0 "))
     return words(F.regexp_replace(text, F.lit(_TRAILING), F.lit(" $0")))
 
@@ -44,9 +46,9 @@ def gazetteer(phrases: DataFrame, column: str = "phrase") -> DataFrame:
     """Distinct phrases with their tokens; the first one is the join key."""
     return (
         phrases.select(F.lower(F.col(column)).alias("skill"))
+        .where(py_strip(F.col("skill")) != "")
         .distinct()
         .withColumn("phrase_tokens", tokenise(F.col("skill")))
-        .where(F.size("phrase_tokens") > 0)
         .withColumn("first_token", F.element_at("phrase_tokens", 1))
     )
 
@@ -54,20 +56,24 @@ def gazetteer(phrases: DataFrame, column: str = "phrase") -> DataFrame:
 def skill_match(docs: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, skill, hits)``; overlapping phrases all count.
 
-    Each token is exploded once, together with the few tokens that follow it,
-    and meets the phrases that start with it. Whether the phrase table is
-    broadcast is left to its measured size.
+    Each token becomes one row, together with as many following tokens as the
+    longest phrase has, and meets the phrases that start with it. Whether the
+    phrase table is broadcast is left to its measured size.
     """
     longest = phrases.agg(F.max(F.size("phrase_tokens"))).first()[0] or 1
-    tokens = F.transform(
+    # The token list beside itself, shifted by one, two, ... tokens.
+    rows = F.transform(
         F.array(tokenise(F.col(text))),
-        lambda t: F.transform(t, lambda _, i: F.slice(t, i + 1, F.lit(longest))),
-    )
-    windows = docs.select("doc_id", F.explode(F.element_at(tokens, 1)).alias("_w"))
-    windows = windows.withColumn("first_token", F.element_at("_w", 1))
-    hits = windows.join(phrases, "first_token").where(
-        F.slice("_w", F.lit(1), F.size("phrase_tokens")) == F.col("phrase_tokens")
+        lambda t: F.arrays_zip(
+            t, *[F.slice(t, F.lit(k + 1), F.greatest(F.size(t) - k, F.lit(0))) for k in range(1, longest)]
+        ),
     )
+    names = ["first_token", *[f"_t{k}" for k in range(1, longest)]]
+    windows = docs.select("doc_id", F.inline(F.element_at(rows, 1)).alias(*names))
+    hits = windows.join(phrases, "first_token")
+    for k in range(1, longest):
+        wanted = F.get("phrase_tokens", F.lit(k))
+        hits = hits.where((F.size("phrase_tokens") <= k) | (wanted == F.col(f"_t{k}")))
     return hits.groupBy("doc_id", "skill").agg(F.count(F.lit(1)).alias("hits"))
 
 
