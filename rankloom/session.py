@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,24 +25,18 @@ def build_session(app: str = "rankloom", master: str | None = None, **conf) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a folder of its own; a cluster
-    must name one, since no machine-local folder is visible to every executor.
-    """
+    """The folder all executors see: ``spark.checkpoint.dir``, or where that is
+    unset a folder beside the tables of the session's warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="rankloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder, for one written table."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df, name: str):
