@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,20 +72,30 @@ _kept: dict[str, object] = {}
 
 
 def once(key: str, make: Callable[[], object]) -> object:
-    """What ``make`` returns, made once in this Python worker for a key; the
-    oldest of eight leaves."""
+    """What ``make`` returns, made once in this Python worker for a key; the one
+    before the last leaves."""
     if key not in _kept:
-        while len(_kept) >= 8:
+        while len(_kept) >= 2:
             _kept.pop(next(iter(_kept)))
         _kept[key] = make()
     return _kept[key]
 
 
-def task_number() -> int:
-    context = TaskContext.get()
-    return context.partitionId() if context else 0
-
-
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 of a text column; null is empty."""
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of the highest counts: all from the lowest count on that leaves at
+    most ``most`` rows. Counted by the count's leading bits, so the driver sees a
+    few hundred rows and nothing is sorted."""
+    scale = F.floor(F.log2(F.col(n)) * 64)
+    sizes = counts.where(F.col(n) > 0).groupBy(scale.alias("s")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    total, least = 0, None
+    for s, rows in sorted(sizes, reverse=True):
+        total += rows
+        if total > most:
+            break
+        least = s
+    return counts.where((F.col(n) > 0) & (scale >= least) if least is not None else F.lit(False))

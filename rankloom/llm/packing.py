@@ -15,10 +15,11 @@ broadcast patterns.
 
 from __future__ import annotations
 
+import hashlib
 import os
-import uuid
+import re
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,22 @@ from rankloom.session import written
 
 WINDOW = 4096
 END = 2
-CACHED = 300_000
+CACHED = 400_000
 LONGEST_CACHED = 64
+WORD_END = "</w>"
+
+# ASCII marks, without the apostrophe, after an ASCII letter or digit or a letter of
+# Latin-1, and before one, white space or the end.
+_MARKS = re.compile(
+    rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!-&(-/:-@\[-`{-~]+(?=[\sa-z0-9]|\Z)"
+)
 
 
 class WordCoder:
     """Ids of texts, word by word. The normaliser and the pattern of the
-    vocabulary never look across ASCII white space, so a word's ids do not depend
-    on its neighbours, and repeated words are looked up."""
+    vocabulary never look across ASCII white space, nor across the border between a
+    letter or digit and marks that others follow, so a word's ids do not depend on
+    its neighbours, and repeated words are looked up."""
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,24 +54,52 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        ids = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in ids.items() if token.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, dtype="<u4") for c in coded]
+
+    def _of_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        texts = [w.decode() for w in words]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        # Words of letters alone are one pre-token each: coded a thousand at a time
+        # and taken apart at the ends of words.
+        for start in range(0, len(letters), 1000):
+            some = letters[start : start + 1000]
+            [ids] = self._ids([" ".join([texts[i] for i in some])])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                data, at = ids.tobytes(), 0
+                for i, end in zip(some, (4 * ends).tolist(), strict=True):
+                    yield words[i], data[at:end]
+                    at = end
+            else:
+                for i, each in zip(some, self._ids([texts[i] for i in some]), strict=True):
+                    yield words[i], each.tobytes()
+        others = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for start in range(0, len(others), 1000):
+            some = others[start : start + 1000]
+            for i, each in zip(some, self._ids([texts[i] for i in some]), strict=True):
+                yield words[i], each.tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = list({w for ws in split for w in ws if w not in self.known})
-        extra: dict[bytes, bytes] = {}
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
-            coded = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            for w, c in zip(some, coded, strict=True):
-                ids = np.array(c.ids, dtype="<u4").tobytes()
-                (self.known if len(w) <= LONGEST_CACHED else extra)[w] = ids
-        if extra:
-            return [b"".join([extra.get(w) or self.known.get(w, b"") for w in ws]) for ws in split]
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        split = [_MARKS.sub(rb" \g<0> ", t.lower()).split() for t in texts]
+        known = self.known
+        new = set().union(*split) - known.keys()
+        if len(known) + len(new) > CACHED:
+            known = self.known = {}
+            new = set().union(*split)
+        known.update(self._of_words(list(new)))
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                del known[w]
+        return out
 
 
 def tokenised(
@@ -73,9 +110,10 @@ def tokenised(
     cut at multiples of the window. ``ids`` are little-endian unsigned 32-bit.
     ``vocabulary`` is the tokenizer's file. A null or empty text is the end id alone."""
     with open(vocabulary, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary: a few MB
+        content = file.read()
+    shared = docs.sparkSession.sparkContext.broadcast(content)  # a vocabulary: a few MB
+    key = hashlib.sha256(content.encode()).hexdigest()
     last = np.array([end], dtype="<u4").tobytes()
-    key = uuid.uuid4().hex
 
     def batch(rows: pa.RecordBatch) -> dict:
         coder = once(key, lambda: WordCoder(shared.value))
@@ -184,7 +222,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc
     offset 0. Repeated rows are pieces of their own. No rows give no rows; a null
     length or one beyond the window is an error.
     """
-    ranked = numbered(pieces, "length", list(order), "pieces")
+    # Stored first: the range exchange reads its input twice, once for a sample.
+    ranked = numbered(written(pieces, "pieces"), "length", list(order), "numbered-pieces")
     counts = ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     if any(r.length is None or not 1 <= r.length <= window for r in counts):
         raise ValueError("a piece is empty or longer than the window")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decision_list, knn_quality, packing, simhash
+from rankloom.llm import bpe, decision_list, knn_quality, language_id, packing, simhash, url_filter
 from rankloom.llm.common import in_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,47 @@ def op9_quality_knn(spark, sf_dir):
         "doc_id", in_bucket(F.col("doc_id"), 5, 0).alias("held_out"), "score",
         (F.col("score") >= GOOD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op4_byte_bpe(spark, sf_dir):
+    coded = bpe.coded(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
+    )
+    return coded.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_bucket(F.col("doc_id"), 4, 2)
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predicted(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+#: Of the contract; the longest that fits decides.
+HOST_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+)
+#: Host labels that block where none of those fits.
+BLOCKED_NAMES = (
+    "casino-win", "free-casino", "online-casino", "cheap-pills", "online-pills", "free-bets", "best-bets",
+    "spam-farm", "link-farm", "adult-chat", "payday-loans", "replica-watches",
+)
+
+
+def url_rules() -> list[url_filter.Rule]:
+    hosts = [url_filter.host_rule(*rule) for rule in HOST_RULES]
+    return hosts + [url_filter.name_rule("block", name) for name in BLOCKED_NAMES]
+
+
+@query
+def op10_url_filter(spark, sf_dir):
+    return url_filter.judged(table(spark, sf_dir, "pages"), url_rules())
