@@ -23,83 +23,116 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import mapped, once, texts_of
+from rankloom.llm.common import mapped, once
 from rankloom.session import written
 
 WINDOW = 4096
 END = 2
-CACHED = 400_000
+CACHED = 800_000
 LONGEST_CACHED = 64
 WORD_END = "</w>"
 
-# ASCII marks, without the apostrophe, after an ASCII letter or digit or a letter of
-# Latin-1, and before one, white space or the end.
-_MARKS = re.compile(
-    rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!-&(-/:-@\[-`{-~]+(?=[\sa-z0-9]|\Z)"
-)
+# ASCII marks without the apostrophe, and a letter of Latin-1 in UTF-8.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]").match
+TOGETHER = 200
 
 
 class WordCoder:
     """Ids of texts, word by word. The normaliser and the pattern of the
-    vocabulary never look across ASCII white space, nor across the border between a
-    letter or digit and marks that others follow, so a word's ids do not depend on
-    its neighbours, and repeated words are looked up."""
+    vocabulary never look across ASCII white space, nor from a letter or digit into
+    the marks behind it, so a word's ids do not depend on its neighbours, and
+    repeated words are looked up."""
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
         ids = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(ids.values()) + 1, dtype=bool)
         self.ends[[i for token, i in ids.items() if token.endswith(WORD_END)]] = True
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        # For words that need no normalising and no pattern.
+        self.light = Tokenizer.from_str(vocabulary)
+        self.light.normalizer = normalizers.Sequence([])
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        ])
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, dtype="<u4") for c in coded]
+        return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
 
     def _of_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         texts = [w.decode() for w in words]
-        letters = [i for i, t in enumerate(texts) if t.isalpha()]
-        # Words of letters alone are one pre-token each: coded a thousand at a time
-        # and taken apart at the ends of words.
-        for start in range(0, len(letters), 1000):
-            some = letters[start : start + 1000]
-            [ids] = self._ids([" ".join([texts[i] for i in some])])
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):
-                data, at = ids.tobytes(), 0
-                for i, end in zip(some, (4 * ends).tolist(), strict=True):
-                    yield words[i], data[at:end]
-                    at = end
+        # Words of letters up to Latin Extended-A are composed already, are lowered
+        # letter by letter and are one pre-token each: many are coded at a time and
+        # taken apart at the ends of words.
+        plain = [t.isalpha() and max(t) < "\u0130" for t in texts]
+        some = [i for i, p in enumerate(plain) if p]
+        for start in range(0, len(some), TOGETHER):
+            part = some[start : start + TOGETHER]
+            [coded] = self.light.encode_batch_fast([" ".join([texts[i] for i in part]).lower()], add_special_tokens=False)
+            ids = np.array(coded.ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            data, at = ids.tobytes(), 0
+            for i, end in zip(part, ends, strict=True):
+                yield words[i], data[at:end]
+                at = end
+        rest = [i for i, p in enumerate(plain) if not p]
+        for start in range(0, len(rest), TOGETHER):
+            part = rest[start : start + TOGETHER]
+            for i, ids in zip(part, self._ids([texts[i] for i in part]), strict=True):
+                yield words[i], ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Add the ids of new words; marks at a word's end are words of their own."""
+        known, cut, whole = self.known, [], []
+        for w in new:
+            base = w.rstrip(MARKS)
+            if 0 < len(base) < len(w) and (base[-1:].isalnum() or _LATIN(base, len(base) - 2)):
+                cut.append((w, base, w[len(base) :]))
             else:
-                for i, each in zip(some, self._ids([texts[i] for i in some]), strict=True):
-                    yield words[i], each.tobytes()
-        others = [i for i, t in enumerate(texts) if not t.isalpha()]
-        for start in range(0, len(others), 1000):
-            some = others[start : start + 1000]
-            for i, each in zip(some, self._ids([texts[i] for i in some]), strict=True):
-                yield words[i], each.tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [_MARKS.sub(rb" \g<0> ", t.lower()).split() for t in texts]
+                whole.append(w)
+        halves = {part for _, base, marks in cut for part in (base, marks)}
+        known.update(self._of_words([*halves.difference(known, whole), *whole]))
+        for w, base, marks in cut:
+            known[w] = known[base] + known[marks]
+
+    def encode(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """The ids of each text (null is empty), unsigned 32-bit."""
+        texts = pc.ascii_lower(pc.fill_null(texts, ""))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.known) + len(words) > CACHED:
+            self.known = {b"": b""}
         known = self.known
-        new = set().union(*split) - known.keys()
-        if len(known) + len(new) > CACHED:
-            known = self.known = {}
-            new = set().union(*split)
-        known.update(self._of_words(list(new)))
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        new = [w for w in words if w not in known]
+        self._learn(new)
+        pool = [known[w] for w in words]
         for w in new:
             if len(w) > LONGEST_CACHED:
                 del known[w]
-        return out
+        # Lay out each word's ids from the pool of the different words.
+        size = np.fromiter(map(len, pool), dtype=np.int64, count=len(pool)) // 4
+        first = np.cumsum(size) - size
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = size[word]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(first[word] - (ends - lengths), lengths)
+        ids = np.frombuffer(b"".join(pool), dtype="<u4")[at]
+        offsets = split.offsets.to_numpy()
+        edges = np.concatenate([[0], ends])[offsets - offsets[0]]
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            yield ids[start:end]
 
 
 def tokenised(
@@ -118,20 +151,21 @@ def tokenised(
     def batch(rows: pa.RecordBatch) -> dict:
         coder = once(key, lambda: WordCoder(shared.value))
         out = defaultdict(list)
-        for doc, ids in zip(rows.column("doc_id").to_pylist(), coder.encode(texts_of(rows)), strict=True):
-            ids += last
-            for start in range(0, len(ids), 4 * window):
-                piece = ids[start : start + 4 * window]
+        for doc, ids in zip(rows.column("doc_id").to_pylist(), coder.encode(rows.column("text")), strict=True):
+            n = len(ids) + 1
+            for start in range(0, n, window):
+                piece = ids[start : start + window].tobytes()
+                if start + window >= n:
+                    piece += last
                 for name, value in (
-                    ("doc_id", doc), ("start", start // 4), ("length", len(piece) // 4),
-                    ("doc_tokens", len(ids) // 4), ("ids", piece),
+                    ("doc_id", doc), ("start", start), ("length", len(piece) // 4), ("doc_tokens", n), ("ids", piece),
                 ):
                     out[name].append(value)
         return out
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
-    return mapped(narrow, schema, batch, part_bytes=1 << 22)
+    return mapped(narrow, schema, batch, part_bytes=1 << 21)
 
 
 def closest_fill(counts: Mapping[int, int], room: int) -> dict[int, int]:
