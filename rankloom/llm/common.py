@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.session import written
+
 # ---- fixed values -------------------------------------------------------
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -99,3 +101,26 @@ def frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
             break
         least = s
     return counts.where((F.col(n) > 0) & (scale >= least) if least is not None else F.lit(False))
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str, **options: str) -> DataFrame:
+    """``df`` with ``rank`` (0, 1, ... in ``order`` within the group), no window over
+    a group's rows: exchanged by range, stored sorted (with the writer's
+    ``options``), and counted per partition."""
+    at = written(
+        df.repartitionByRange(group, *order)
+        .sortWithinPartitions(group, *order)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_at", 33)),
+        name, **options,
+    )
+    # One row per partition, and one more for each further group in it.
+    edges = at.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    edges = written(edges.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), "_first", "_before"), f"{name}-edges")
+    return (
+        at.join(edges, (F.col(group) == F.col("_group")) & (F.col("_part") == F.col("_p")))
+        .withColumn("rank", F.col("_before") + F.col("_at") - F.col("_first"))
+        .drop("_at", "_part", "_p", "_group", "_first", "_before")
+    )

@@ -24,10 +24,10 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import mapped, once
+from rankloom.llm.common import mapped, numbered, once
 from rankloom.session import written
 
 WINDOW = 4096
@@ -165,7 +165,7 @@ def tokenised(
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
-    return mapped(narrow, schema, batch, part_bytes=1 << 21)
+    return mapped(narrow, schema, batch, part_bytes=1 << 22)
 
 
 def closest_fill(counts: Mapping[int, int], room: int) -> dict[int, int]:
@@ -227,28 +227,6 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {x: np.array(v, dtype=np.int64).T for x, v in rows.items()}
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """``df`` with ``rank`` (0, 1, ... in ``order`` within the group), no window over
-    a group's rows: sorted by range, stored, counted per partition."""
-    at = written(
-        df.repartitionByRange(group, *order)
-        .sortWithinPartitions(group, *order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_at", 33)),
-        name,
-    )
-    # One row per partition, and one more for each further group in it.
-    edges = at.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    edges = written(edges.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), "_first", "_before"), f"{name}-edges")
-    return (
-        at.join(edges, (F.col(group) == F.col("_group")) & (F.col("_part") == F.col("_p")))
-        .withColumn("rank", F.col("_before") + F.col("_at") - F.col("_first"))
-        .drop("_at", "_part", "_p", "_group", "_first", "_before")
-    )
-
-
 def pack(pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
     """``pieces`` (with ``length``, 1 to ``window``) with ``sequence_id`` and ``offset``.
 

@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decision_list, knn_quality, language_id, packing, simhash, url_filter
+from rankloom.llm import (
+    bpe,
+    decision_list,
+    histogram_sort,
+    knn_quality,
+    language_id,
+    order_minhash,
+    packing,
+    simhash,
+    url_filter,
+)
 from rankloom.llm.common import in_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +109,24 @@ def url_rules() -> list[url_filter.Rule]:
 @query
 def op10_url_filter(spark, sf_dir):
     return url_filter.judged(table(spark, sf_dir, "pages"), url_rules())
+
+
+@query
+def op1_order_minhash(spark, sf_dir):
+    pairs = order_minhash.edited_pairs(table(spark, sf_dir, "documents"))
+    s, e = F.col("s"), F.col("edited_s")
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        order_minhash.as_text(s).alias("fingerprint"), order_minhash.as_text(e).alias("edited_fingerprint"),
+        order_minhash.likeness(s, e).alias("near_edited"),
+        order_minhash.likeness(s, F.col("next_s")).alias("near_next"),
+    )
+
+
+@query
+def op2_histogram_sort(spark, sf_dir):
+    placed = histogram_sort.sharded(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select(
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
