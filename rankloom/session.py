@@ -39,12 +39,13 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df, name: str):
+def written(df, name: str, **options: str):
     """The rows of ``df``, written once and read back: cuts the lineage, and a
-    lost executor costs a re-read instead of a recomputation."""
+    lost executor costs a re-read instead of a recomputation. ``options`` are the
+    Parquet writer's."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
