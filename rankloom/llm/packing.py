@@ -32,7 +32,7 @@ from rankloom.session import written
 
 WINDOW = 4096
 END = 2
-CACHED = 800_000
+CACHED = 400_000
 LONGEST_CACHED = 64
 WORD_END = "</w>"
 
