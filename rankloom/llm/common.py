@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,26 @@ def parts(batch: pa.RecordBatch, part_bytes: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, step)
 
 
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of some texts with A-Z lower-cased, the number of the
+    word at each place, and the places where each text begins and the last ends.
+    Words are runs without ASCII white space; a null text has none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    if "" in words:  # before leading and after trailing white space
+        none = words.index("")
+        real = word != none
+        offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
+        word = word[real]
+        word -= word > none
+        del words[none]
+    return words, word, offsets
+
+
 _kept: dict[str, object] = {}
 
 

@@ -128,7 +128,7 @@ class Neighbours:
 def fit_rows(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, totals: tuple[int, int], buckets: int, dimensions: int, neighbours: int) -> Neighbours:
     """Fit on term rows; ``totals`` are all labelled rows with label 0 and 1."""
     n = len(rows)
-    prior = totals[1] / max(1, sum(totals))
+    prior = totals[1] / sum(totals) if sum(totals) else 0.5
     held = Counter(i for k, _ in rows for i in k)
     weights = np.zeros(buckets, dtype=np.float32)
     for i, df in held.items():

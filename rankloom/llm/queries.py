@@ -14,6 +14,7 @@ from rankloom.llm import (
     histogram_sort,
     knn_quality,
     language_id,
+    log_bilinear,
     order_minhash,
     packing,
     simhash,
@@ -130,3 +131,13 @@ def op2_histogram_sort(spark, sf_dir):
         "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op5_log_bilinear(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_bucket(F.col("doc_id"), 7, 2)
+    model, counted = log_bilinear.fit(docs.where(~held_out))
+    return log_bilinear.scored(docs, model, counted).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
