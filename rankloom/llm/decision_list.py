@@ -160,7 +160,8 @@ def _counts(rows: DataFrame) -> dict[int, list[tuple[int, int, int, int, int]]]:
 
 
 def _best_step(counts: dict, cuts: list[list[float]], least: int):
-    """The condition of the highest FOIL gain, with the counts of what it covers."""
+    """The condition of the highest FOIL gain, with the counts of what it covers. Of
+    equal gains the one that covers fewer kept rows of those held back."""
     best = None
     for f, bins in sorted(counts.items()):
         whole = [sum(b[k] for b in bins) for k in range(1, 5)]
@@ -176,7 +177,8 @@ def _best_step(counts: dict, cuts: list[list[float]], least: int):
                 if got[0] < least or got[:2] == whole[:2]:
                     continue
                 gain = got[0] * (math.log2(got[0] / (got[0] + got[1])) - before)
-                if best is None or gain > best[0] + 1e-9:
+                ahead = 1.0 if best is None else gain - best[0]
+                if ahead > 1e-9 or ahead > -1e-9 and got[3] < best[2][3]:
                     best = (gain, Condition(FEATURES[f], above, threshold), got)
     return best if best and best[0] > 1e-9 else None
 
@@ -194,7 +196,7 @@ def learn(
     Thresholds are the features' quantiles (``bins``, plus their spread among
     rejects). Rows with a null label or id are left out. Without rejects, or
     where no rule is precise enough, the list is empty and keeps all rows.
-    Equal gains go to the earlier feature and the lower threshold.
+    What is equal in all counts goes to the earlier feature and lower threshold.
     """
     rows = labelled.where("bad is not null and doc_id is not null").select(
         "bad", (F.crc32(F.col("doc_id").cast("string")) % 3 == 0).alias("prune"),
