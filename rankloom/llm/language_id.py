@@ -12,34 +12,28 @@ the ``most_words`` most frequent pairs of word and language and the
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import frequent, mapped, once, texts_of
+from rankloom.llm.common import frequent, mapped, split_words
 from rankloom.session import written
 
 MOST_WORDS = 100_000
 MOST_GRAMS = 200_000
 LONGEST_GRAM = 4
 LONGEST_WORD = 64
-CACHED = 200_000
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
 
-
-def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case, the longest cut to pieces."""
-    found = _WORD.findall(text.lower())
-    if any(len(w) > LONGEST_WORD for w in found):
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Runs of letters in lower case: the different ones, their places, and the
+    places where each text begins and the last ends."""
+    return split_words(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " "))
 
 
 def grams_of(word: str, size: int) -> list[str]:
@@ -49,19 +43,23 @@ def grams_of(word: str, size: int) -> list[str]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``(lang, word, n)`` over all rows of ``docs`` (``text``, ``lang``), summed
-    per task before the shuffle."""
+    """``(lang, word, n)`` over all rows of ``docs`` (``text``, ``lang``), summed per
+    batch before the shuffle. Words beyond 64 letters are left to their n-grams."""
     def batch(rows: pa.RecordBatch) -> dict:
-        by: dict[str, Counter] = defaultdict(Counter)
-        for lang, text in zip(rows.column("lang").to_pylist(), texts_of(rows), strict=True):
-            by[lang].update(words_of(text.decode()))
-        triples = [(lang, w, n) for lang, counter in by.items() for w, n in counter.items()]
-        langs, ws, ns = zip(*triples, strict=True) if triples else ((), (), ())
-        return {"lang": list(langs), "word": list(ws), "n": list(ns)}
+        words, word, offsets = words_of(rows.column("text"))
+        langs = rows.column("lang").dictionary_encode()
+        lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(offsets)).astype(np.int64)
+        pair, n = np.unique(lang * max(1, len(words)) + word, return_counts=True)
+        short = np.array([len(w) <= LONGEST_WORD for w in words], dtype=bool)[pair % max(1, len(words))]
+        pair, n = pair[short], n[short]
+        return {
+            "lang": langs.dictionary.take(pa.array(pair // max(1, len(words)))),
+            "word": pa.array(words, pa.string()).take(pa.array(pair % max(1, len(words)))),
+            "n": n,
+        }
 
     usable = docs.where("lang is not null and text is not null").select("lang", "text")
-    found = mapped(usable, "lang string, word string, n long", batch, part_bytes=1 << 24)
-    return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return mapped(usable, "lang string, word string, n long", batch).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(counted: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
@@ -102,43 +100,40 @@ class Model:
         for size in range(1, longest + 1):
             rows = [r for r in gram_rows if len(r[1]) == size]
             self.grams[size] = _table(rows, langs, [gram_totals.get((lang, size), 0) for lang in langs])
-        self._unseen: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean over the longest n-grams of the word that are known at all."""
-        got = self._unseen.get(word)
-        if got is None:
-            got = np.zeros(len(self.langs), dtype=np.float32)
-            for size in sorted(self.grams, reverse=True):
-                index, logs = self.grams[size]
-                rows = [index[g] for g in grams_of(word, size) if g in index]
-                if rows:
-                    got = logs[rows].mean(axis=0)
-                    break
-            if len(self._unseen) > CACHED:
-                self._unseen.clear()
-            self._unseen[word] = got
-        return got
-
-    def predict(self, text: str) -> tuple[str, float]:
-        """The language and its share of the likelihood; of equals the first."""
-        counted = Counter(words_of(text))
-        if not counted or not self.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        get = self.words.get
-        rows, weights = [], []
-        for word, n in counted.items():
-            row = get(word)
-            if row is None:
-                total += n * self.unseen(word)
-            else:
-                rows.append(row)
-                weights.append(n)
-        if rows:
-            total += np.array(weights) @ self.word_logs[rows]
-        best = int(total.argmax())
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the mean over its longest n-grams that are known at all."""
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        left = list(range(len(words)))
+        for size in sorted(self.grams, reverse=True):
+            index, logs = self.grams[size]
+            get = index.get
+            rows = [[r for r in map(get, grams_of(words[i], size)) if r is not None] for i in left]
+            hit = [(i, r) for i, r in zip(left, rows, strict=True) if r]
+            if hit:
+                n = np.array([len(r) for _, r in hit])
+                flat = logs[np.concatenate([r for _, r in hit])]
+                out[[i for i, _ in hit]] = np.add.reduceat(flat, np.cumsum(n) - n, axis=0) / n[:, None]
+            left = [i for i, r in zip(left, rows, strict=True) if not r]
+        return out
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The language of each text and its share of the likelihood; of equals the
+        first."""
+        words, word, offsets = words_of(texts)
+        n = len(offsets) - 1
+        if not self.langs:
+            return [UNKNOWN] * n, np.zeros(n)
+        row = np.array([self.words.get(w, -1) for w in words], dtype=np.int64)
+        logs = np.empty((len(words), len(self.langs)), dtype=np.float32)
+        logs[row >= 0] = self.word_logs[row[row >= 0]]
+        logs[row < 0] = self.unseen([w for w, r in zip(words, row.tolist(), strict=True) if r < 0])
+        text = np.repeat(np.arange(n), np.diff(offsets))
+        total = np.stack([np.bincount(text, logs[word, i], minlength=n) for i in range(len(self.langs))], axis=1)
+        best = total.argmax(axis=1)
+        share = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        some = np.diff(offsets) > 0
+        return [self.langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.where(some, share, 0.0)
 
 
 def fit(docs: DataFrame, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
@@ -165,12 +160,10 @@ def predicted(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     language with an even share. Repeated rows stay; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = uuid.uuid4().hex
 
     def batch(rows: pa.RecordBatch) -> dict:
-        known: Model = once(key, lambda: shared.value)
-        found = [known.predict(t.decode()) for t in texts_of(rows)]
-        return {"doc_id": rows.column("doc_id"), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+        langs, shares = shared.value.predict(rows.column("text"))
+        return {"doc_id": rows.column("doc_id"), "lang_pred": langs, "score": shares}
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return mapped(narrow, "doc_id long, lang_pred string, score double", batch)
+    return mapped(narrow, "doc_id long, lang_pred string, score double", batch, part_bytes=1 << 22)

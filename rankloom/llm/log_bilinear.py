@@ -18,7 +18,6 @@ Bounds: the broadcast holds ``vocabulary * dimensions`` parameters and about
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import frequent, mapped, once, parts, split_words
+from rankloom.llm.common import frequent, mapped, parts, split_words
 from rankloom.session import written
 
 VOCABULARY = 1022
@@ -274,10 +273,9 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame, doc_id: str = "doc
     ``counted`` by a join on the word.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = uuid.uuid4().hex
 
     def batch(rows: pa.RecordBatch) -> dict:
-        m: Model = once(key, lambda: shared.value)
+        m: Model = shared.value
         tokens = Tokens(rows.column("text"))
         ids = _ids_of(tokens, m.ids)
         n = np.array([*[m.counts.get(w, -1) for w in tokens.words], m.counts[END_WORD]])
