@@ -214,11 +214,11 @@ def survivors(docs: DataFrame, shingle: int = 3, bits: int = 2, longest: int = 6
     the text, rows equal in both are one)."""
     found = near_duplicates(docs, shingle, bits, longest=longest)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    none = F.lit(-(1 << 63)).cast("long")
     chosen = found.groupBy("group").agg(first.alias("f")).select(
-        F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash")
+        F.coalesce("f.doc_id", none).alias("_id"), F.col("f.text_hash").alias("_hash")
     )
-    chosen = written(chosen, "simhash-survivors")
-    key = F.col("doc_id").cast("long")
-    mine = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = mine.join(chosen, key.eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    # The join and the removal of equal rows share the keys, so texts move once.
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_hash": F.xxhash64("text")}
+    kept = docs.withColumns(keys).join(written(chosen, "simhash-survivors"), ["_id", "_hash"], "left_semi")
+    return kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
