@@ -275,10 +275,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 def accepted(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with their own columns.
 
-    Labelled rows are measured first to learn the list; then every row is
-    measured and filtered where it stands, without a shuffle of texts.
+    Every row is measured once and stored beside its statistics; the list is
+    learned from the narrow columns, and texts are never shuffled.
     """
-    marked = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = learn(labelled_features(with_statistics(marked), labels), **settings)
-    kept = with_statistics(docs).where(~base_failed(F.col("_base")) & rules.keeps(F.col("_features")))
-    return kept.select(*docs.columns)
+    measured = written(with_statistics(docs), "measured", compression="zstd")
+    rules = learn(labelled_features(measured, labels), **settings)
+    return measured.where(~base_failed(F.col("_base")) & rules.keeps(F.col("_features"))).select(*docs.columns)
