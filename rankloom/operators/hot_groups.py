@@ -1,65 +1,42 @@
 """Ordered work inside groups of any size.
 
-A window over a group puts the whole group into one task. Here a group that
-holds more than a fixed share of all rows is first cut into consecutive
-buckets of its sort order. The cut points are order keys of the group's own
-rows, picked by a hash of the key, so every evaluation finds the same ones.
-Windows then run per bucket, and what must cross a bucket's edge (rank
-offsets, the value carried forward) comes from one small row per bucket.
-
-Bounds: a hot group holds more than 1/MAX_HOT of all rows, hence there are
-fewer than MAX_HOT of them; each has about CUTS cut points. That is what the
-broadcasts below carry, whatever the size of the data.
+A window over a group puts the whole group into one task. Here the rows are
+exchanged by ranges of group and order, so that a large group is spread over as
+many partitions as its share of the rows asks for, and stored in that order. What
+must cross a partition's edge (rank offsets, the value carried forward) comes from
+one small row for each group and partition. There is one plan for every size, and
+nothing is counted or collected while it is made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT = 1024
-CUTS = 256
-HOT_ROWS = 1_000_000
-
-
-def _hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
-    """Keys and row counts of the hot groups, a local table of fewer than
-    MAX_HOT rows; None (after a mere count) when there can be none."""
-    total = df.count()
-    share = max(hot_rows, total // MAX_HOT)
-    if total <= share:
-        return None
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > share)
-    hot = counts.collect()
-    return df.sparkSession.createDataFrame(hot, counts.schema) if hot else None
-
-
-def _in_buckets(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """Add ``_rows`` and ``_cuts`` (hot groups only) and ``_bucket``."""
-    picked = (
-        df.select(*keys, "_order")
-        .join(F.broadcast(hot), keys)
-        .where(F.pmod(F.xxhash64("_order"), F.ceil(F.col("_rows") / CUTS)) == 0)
-    )
-    cuts = picked.groupBy(*keys, "_rows").agg(
-        F.array_sort(F.collect_set("_order")).alias("_cuts")
-    )
-    passed = F.filter(F.col("_cuts"), lambda cut: cut < F.col("_order"))
-    return (
-        df.join(F.broadcast(cuts), keys, "left")
-        .withColumn("_bucket", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(passed)))
-        .drop("_cuts")
-    )
+from rankloom.session import written
 
 
-def _earlier_buckets(keys: list[str]):
-    return (
-        Window.partitionBy(*keys)
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+def _in_order(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """``df`` stored by range, with ``_order``, the place ``_at`` and its partition."""
+    ordered = df.withColumn("_order", order).repartitionByRange(*keys, "_order")
+    placed = ordered.sortWithinPartitions(*keys, "_order").withColumn("_at", F.monotonically_increasing_id())
+    return written(placed.withColumn("_part", F.shiftright("_at", 33)), "ordered")
+
+
+def _earlier(keys: list[str]):
+    """The partitions of a group before the row's own: at most as many as there are."""
+    return Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_edges(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on group (null is one too) and partition."""
+    names = {k: f"_edge_{i}" for i, k in enumerate([*keys, "_part"])}
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return rows.join(edges.withColumnsRenamed(names), same, "left").drop(*names.values())
 
 
 def ranked(
@@ -67,73 +44,36 @@ def ranked(
     keys: Sequence[str],
     order: Column,
     keep: Callable[[Column], Column] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``rank`` (1, 2, ... in ``order`` within the group) and ``group_rows``.
 
     ``order`` is a struct sorted ascending, unique within the group. ``keep``
-    maps the group's row count to the highest rank wanted; buckets beyond it
-    are left out before the shuffle.
+    maps the group's row count to the highest rank wanted.
     """
     keys = list(keys)
-    df = df.withColumn("_order", order)
-    hot = _hot_groups(df, keys, hot_rows)
-    if hot is None:
-        group = Window.partitionBy(*keys)
-        out = df.withColumn("rank", F.row_number().over(group.orderBy("_order")).cast("long"))
-        out = out.withColumn("group_rows", F.count(F.lit(1)).over(group))
-    else:
-        cut = _in_buckets(df, keys, hot)
-        offsets = (
-            cut.where(F.col("_rows").isNotNull())
-            .groupBy(*keys, "_bucket")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_offset", F.sum("_n").over(_earlier_buckets(keys)))
-            .select(*keys, "_bucket", F.coalesce("_offset", F.lit(0)).alias("_offset"))
-        )
-        cut = cut.join(F.broadcast(offsets), [*keys, "_bucket"], "left")
-        if keep is not None:
-            cut = cut.where(F.col("_offset").isNull() | (F.col("_offset") < keep(F.col("_rows"))))
-        bucket = Window.partitionBy(*keys, "_bucket")
-        out = cut.withColumn(
-            "rank",
-            F.row_number().over(bucket.orderBy("_order")) + F.coalesce("_offset", F.lit(0)),
-        ).withColumn("group_rows", F.coalesce("_rows", F.count(F.lit(1)).over(bucket)))
+    rows = _in_order(df, keys, order)
+    edges = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    edges = edges.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)))
+    edges = edges.withColumn("group_rows", F.sum("_n").over(Window.partitionBy(*keys))).drop("_n")
+    out = _with_edges(rows, edges, keys).withColumn("rank", F.col("_before") + F.col("_at") - F.col("_first") + 1)
     if keep is not None:
         out = out.where(F.col("rank") <= keep(F.col("group_rows")))
-    return out.drop("_order", "_bucket", "_rows", "_offset")
+    return out.select(*df.columns, "rank", "group_rows")
 
 
-def carried_forward(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Column,
-    value: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def carried_forward(df: DataFrame, keys: Sequence[str], order: Column, value: str) -> DataFrame:
     """Replace ``value`` by its last non-null value up to the row in ``order``."""
     keys = list(keys)
-    df = df.withColumn("_order", order)
-    hot = _hot_groups(df, keys, hot_rows)
-
-    def last_so_far(*by: str) -> Column:
-        frame = Window.partitionBy(*by).orderBy("_order")
-        return F.last(value, ignorenulls=True).over(
-            frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-
-    if hot is None:
-        return df.withColumn(value, last_so_far(*keys)).drop("_order")
-    cut = _in_buckets(df, keys, hot)
-    entering = (
-        cut.where(F.col("_rows").isNotNull())
-        .groupBy(*keys, "_bucket")
-        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_order"))).alias("_last"))
-        .withColumn("_entering", F.last("_last", ignorenulls=True).over(_earlier_buckets(keys)))
-        .select(*keys, "_bucket", "_entering")
+    rows = _in_order(df, keys, order)
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_last")
+    edges = rows.groupBy(*keys, "_part").agg(last)
+    entering = F.last("_last", ignorenulls=True).over(_earlier(keys))
+    edges = edges.withColumn("_entering", entering).drop("_last")
+    so_far = F.last(value, ignorenulls=True).over(
+        Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        cut.join(F.broadcast(entering), [*keys, "_bucket"], "left")
-        .withColumn(value, F.coalesce(last_so_far(*keys, "_bucket"), F.col("_entering")))
-        .drop("_order", "_bucket", "_rows", "_entering")
+        _with_edges(rows.withColumn("_so_far", so_far), edges, keys)
+        .withColumn(value, F.coalesce("_so_far", "_entering"))
+        .select(*df.columns)
     )

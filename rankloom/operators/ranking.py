@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.hot_groups import HOT_ROWS, ranked
+from rankloom.operators.hot_groups import ranked
 
 TOP_FRACTION = 0.2  # fixed value
 TOP_JOBS = 3  # fixed value
@@ -44,19 +44,18 @@ def top_fraction(
     score: str,
     key: str,
     fraction: float = TOP_FRACTION,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The first ``max(1, int(n * fraction))`` rows of each group by score."""
     def quota(n: Column) -> Column:
         return F.greatest(F.lit(1).cast("long"), F.floor(n * F.lit(float(fraction))))
 
-    return ranked(rows, [group], by_score(score, key), keep=quota, hot_rows=hot_rows)
+    return ranked(rows, [group], by_score(score, key), keep=quota)
 
 
 def shortlist_top_fraction(
-    applications: DataFrame, fraction: float = TOP_FRACTION, hot_rows: int = HOT_ROWS
+    applications: DataFrame, fraction: float = TOP_FRACTION
 ) -> DataFrame:
-    return top_fraction(applications, "job_id", "score", "app_id", fraction, hot_rows)
+    return top_fraction(applications, "job_id", "score", "app_id", fraction)
 
 
 def final_selection(
@@ -64,7 +63,6 @@ def final_selection(
     fraction: float = TOP_FRACTION,
     require_taken: bool = False,
     one_per_user: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Best candidates of each job among those without a final message.
 
@@ -81,7 +79,7 @@ def final_selection(
             .agg(F.max_by(F.struct(*candidates.columns), best).alias("_best"))
             .select("_best.*")
         )
-    return top_fraction(open_rows, "job_id", "total_score", "candidate_id", fraction, hot_rows)
+    return top_fraction(open_rows, "job_id", "total_score", "candidate_id", fraction)
 
 
 def job_ranking(
@@ -89,11 +87,10 @@ def job_ranking(
     stuffing: DataFrame,
     generated: DataFrame,
     skills: DataFrame,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All applications ranked within their job, with the suspicion flags and
     skills of the resume (``doc_id``). Texts without a flag are not suspicious."""
-    order = ranked(applications, ["job_id"], by_score("score", "app_id"), hot_rows=hot_rows)
+    order = ranked(applications, ["job_id"], by_score("score", "app_id"))
     return (
         order.join(stuffing.select("doc_id", "is_suspicious"), "doc_id", "left")
         .join(generated.select("doc_id", "is_suspicious_ai"), "doc_id", "left")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.hot_groups import HOT_ROWS, carried_forward
+from rankloom.operators.hot_groups import carried_forward
 
 
 def app_wide(
@@ -71,7 +71,6 @@ def snapshot_asof(
     event_id: str,
     version_time: str,
     version_id: str,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Events with the id of the version current at their time (inclusive).
 
@@ -90,7 +89,7 @@ def snapshot_asof(
     )
     order = F.struct("_time", "_kind", "_id")
     return (
-        carried_forward(merged, [key], order, version_id, hot_rows)
+        carried_forward(merged, [key], order, version_id)
         .where("_kind = 1")
         .select(key, F.col("_id").alias(event_id), F.col("_time").alias(event_time), version_id)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.cleaning import py_strip
 from rankloom.functions.vectors import cosine
-from rankloom.operators.hot_groups import HOT_ROWS, ranked
+from rankloom.operators.hot_groups import ranked
 from rankloom.operators.ranking import by_score
 
 # ---- fixed values -------------------------------------------------------
@@ -109,7 +109,6 @@ def composite_rank(
     key: str,
     role_weights: DataFrame | None = None,
     role: str = "role",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Weighted sum of the partial scores, ranked within the group.
 
@@ -128,4 +127,4 @@ def composite_rank(
             weight = F.coalesce(F.col(f"_w_{name}"), weight)
         total = total + weight * F.coalesce(F.col(name), F.lit(0.0))
     scored = parts.withColumn("final_score", total).drop(*[f"_w_{n}" for n, _ in COMPOSITE_WEIGHTS])
-    return ranked(scored, [group], by_score("final_score", key), hot_rows=hot_rows)
+    return ranked(scored, [group], by_score("final_score", key))

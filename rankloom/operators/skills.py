@@ -1,7 +1,7 @@
 """Skill phrases in texts: tokens, a phrase table, an equi-join.
 
-The cost is linear in the tokens and does not depend on the number of
-phrases. The phrase table is a parameter: read it from a file, build it from
+The cost is linear in the tokens times the phrase lengths there are, and does not
+depend on the number of phrases. The phrase table is a parameter: read it from a file, build it from
 any column, or mine it from annotated spans.
 """
 
@@ -43,38 +43,38 @@ def tokenise(text: Column) -> Column:
 
 
 def gazetteer(phrases: DataFrame, column: str = "phrase") -> DataFrame:
-    """Distinct phrases with their tokens; the first one is the join key."""
+    """Distinct phrases with their tokens."""
     return (
         phrases.select(F.lower(F.col(column)).alias("skill"))
         .where(py_strip(F.col("skill")) != "")
         .distinct()
         .withColumn("phrase_tokens", tokenise(F.col("skill")))
-        .withColumn("first_token", F.element_at("phrase_tokens", 1))
     )
 
 
+def _grams(tokens: Column, lengths: Column) -> Column:
+    """All runs of tokens of the given lengths, each joined by spaces."""
+    def of_length(t: Column, n: Column) -> Column:
+        starts = F.slice(t, F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(0)))
+        return F.transform(starts, lambda _, i: F.array_join(F.slice(t, i + 1, n), " "))
+
+    both = F.transform(F.array(tokens), lambda t: F.flatten(F.transform(lengths, lambda n: of_length(t, n))))
+    return F.element_at(both, 1)
+
+
 def skill_match(docs: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, skill, hits)``; overlapping phrases all count.
 
-    Each token becomes one row, together with as many following tokens as the
-    longest phrase has, and meets the phrases that start with it. Whether the
-    phrase table is broadcast is left to its measured size.
+    The runs of tokens of every length that a phrase has meet the whole phrases:
+    tokens times lengths rows, however many phrases start alike. They are counted
+    per text before they meet, and whether the phrase table is broadcast is left to
+    its measured size.
     """
-    longest = phrases.agg(F.max(F.size("phrase_tokens"))).first()[0] or 1
-    # The token list beside itself, shifted by one, two, ... tokens.
-    rows = F.transform(
-        F.array(tokenise(F.col(text))),
-        lambda t: F.arrays_zip(
-            t, *[F.slice(t, F.lit(k + 1), F.greatest(F.size(t) - k, F.lit(0))) for k in range(1, longest)]
-        ),
-    )
-    names = ["first_token", *[f"_t{k}" for k in range(1, longest)]]
-    windows = docs.select("doc_id", F.inline(F.element_at(rows, 1)).alias(*names))
-    hits = windows.join(phrases, "first_token")
-    for k in range(1, longest):
-        wanted = F.get("phrase_tokens", F.lit(k))
-        hits = hits.where((F.size("phrase_tokens") <= k) | (wanted == F.col(f"_t{k}")))
-    return hits.groupBy("doc_id", "skill").agg(F.count(F.lit(1)).alias("hits"))
+    lengths = phrases.agg(F.collect_set(F.size("phrase_tokens")).alias("n")).scalar()
+    grams = docs.select("doc_id", F.explode(_grams(tokenise(F.col(text)), lengths)).alias("_gram"))
+    counted = grams.groupBy("doc_id", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    whole = phrases.select("skill", F.array_join("phrase_tokens", " ").alias("_gram"))
+    return counted.join(whole, "_gram").groupBy("doc_id", "skill").agg(F.sum("_n").alias("hits"))
 
 
 def skill_pool(docs: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:

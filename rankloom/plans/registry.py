@@ -798,8 +798,14 @@ def buzzword_density(e):
 
 @query
 def activity_stream_counts(e):
-    path, checkpoint = live.stream_places(e.spark, "counts")
-    live.activity_stream_counts(_log_stream(e), path, checkpoint).awaitTermination()
+    """All events in several files, none in order of time, and every tenth again in
+    another file; one file comes at a time."""
+    arriving, (path, checkpoint) = new_table_path(e.spark, "arriving"), live.stream_places(e.spark, "counts")
+    events = e.table("events")
+    events.repartition(5, F.col("event_id") % 5).write.mode("append").parquet(arriving)
+    events.where("event_id % 10 = 0").repartition(2, "event_id").write.mode("append").parquet(arriving)
+    stream = e.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    live.activity_stream_counts(e.logs(stream), path, checkpoint).awaitTermination()
     return live.current_counts(e.spark, path)
 
 

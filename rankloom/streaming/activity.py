@@ -21,23 +21,27 @@ def activity_sink(stream: DataFrame, path: str, checkpoint: str):
     )
 
 
-def activity_stream_counts(stream: DataFrame, path: str, checkpoint: str, delay: str = "1 hour"):
-    """Flag counts per candidate, kept up to date.
+def activity_stream_counts(stream: DataFrame, path: str, checkpoint: str):
+    """Flag counts per candidate, kept up to date; no record comes too late.
 
-    State is one row per candidate plus the event ids inside the watermark.
-    Each batch writes the changed counts to a folder of its own and overwrites
-    it when the batch is repeated.
+    Each batch leaves out the events that earlier batches have stored, and writes
+    its own event ids and partial counts to folders of its own, which a repeated
+    batch overwrites. The stream itself holds no state.
     """
-    counts = flag_totals(
-        stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    )
+    spark = stream.sparkSession
+    seen, counts = f"{path}/seen", f"{path}/counts"
+    none = stream.schema["event_id"].dataType.simpleString()
+    spark.createDataFrame([], f"event_id {none}").write.mode("overwrite").parquet(f"{seen}/batch_id=-1")
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        earlier = batch.sparkSession.read.parquet(seen).where(F.col("batch_id") < batch_id)
+        fresh = batch.dropDuplicates(["event_id"]).join(earlier, "event_id", "left_anti").persist()
+        fresh.select("event_id").write.mode("overwrite").parquet(f"{seen}/batch_id={batch_id}")
+        flag_totals(fresh).write.mode("overwrite").parquet(f"{counts}/batch_id={batch_id}")
+        fresh.unpersist()
 
     return (
-        counts.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(save)
         .start()
@@ -45,14 +49,10 @@ def activity_stream_counts(stream: DataFrame, path: str, checkpoint: str, delay:
 
 
 def current_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The last written counts of every candidate."""
-    rows = spark.read.parquet(path)
+    """The counts of every candidate: the sums of what the batches have written."""
+    rows = spark.read.parquet(f"{path}/counts")
     values = [c for c in rows.columns if c not in ("candidate_id", "batch_id")]
-    return (
-        rows.groupBy("candidate_id")
-        .agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
-        .select("candidate_id", "v.*")
-    )
+    return rows.groupBy("candidate_id").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def stream_places(spark: SparkSession, name: str) -> tuple[str, str]:

@@ -22,8 +22,7 @@ def skewed(spark, small):
     ).cache()
 
 
-@pytest.mark.parametrize("hot_rows", [40, 10**6])
-def test_ranks_equal_a_plain_window(skewed, hot_rows):
+def test_ranks_equal_a_plain_window(skewed):
     order = ranking.by_score("score", "app_id")
     group = Window.partitionBy("job_id")
     plain = skewed.select(
@@ -31,34 +30,41 @@ def test_ranks_equal_a_plain_window(skewed, hot_rows):
         F.row_number().over(group.orderBy(F.desc_nulls_last("score"), "app_id")).alias("r"),
         F.count("*").over(group).alias("n"),
     )
-    both = hot_groups.ranked(skewed, ["job_id"], order, hot_rows=hot_rows).join(plain, "app_id")
+    both = hot_groups.ranked(skewed, ["job_id"], order).join(plain, "app_id")
     assert both.count() == skewed.count()
     assert both.where("rank <> r or group_rows <> n").count() == 0
-    top = ranking.shortlist_top_fraction(skewed, hot_rows=hot_rows).join(plain, "app_id")
+    top = ranking.shortlist_top_fraction(skewed).join(plain, "app_id")
     assert top.where("rank <> r").count() == 0
     assert top.count() == plain.where("r <= greatest(1, floor(n * 0.2D))").count()
 
 
-def test_hot_group_is_really_cut(skewed):
-    df = skewed.withColumn("_order", ranking.by_score("score", "app_id"))
-    hot = hot_groups._hot_groups(df, ["job_id"], 40)
-    assert [r.job_id for r in hot.collect()] == [7]
-    sizes = hot_groups._in_buckets(df, ["job_id"], hot).where("job_id = 7").groupBy("_bucket").count()
-    assert sizes.count() > 50
-    assert sizes.agg(F.max("count")).first()[0] < 40
-
-
-def test_hot_groups_are_few(skewed):
-    assert hot_groups._hot_groups(skewed, ["job_id"], 10**6) is None
-
-
-@pytest.mark.parametrize("hot_rows", [40, 10**6])
-def test_asof_equals_range_join(spark, skewed, hot_rows):
+def test_group_of_nearly_all_rows_is_cut(spark):
+    """One group holds nine rows of ten, and a null group is a group."""
+    df = spark.range(4000).select(
+        F.col("id").alias("app_id"), F.when(F.col("id") % 10 > 0, 7).when(F.col("id") % 20 > 0, 8).alias("job_id"),
+        (F.col("id") * 7919 % 1000).cast("double").alias("score"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = hot_groups._in_order(df, ["job_id"], ranking.by_score("score", "app_id"))
+        sizes = [r["count"] for r in rows.where("job_id = 7").groupBy("_part").count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 1500
+        got = hot_groups.ranked(df, ["job_id"], ranking.by_score("score", "app_id"))
+        group = Window.partitionBy("job_id")
+        plain = df.select(
+            "app_id", F.row_number().over(group.orderBy(F.desc("score"), "app_id")).alias("r"), F.count("*").over(group).alias("n")
+        )
+        assert got.join(plain, "app_id").where("rank = r and group_rows = n").count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_asof_equals_range_join(spark, skewed):
     events = skewed.select(F.col("job_id").alias("user"), "applied_at", "app_id")
     versions = skewed.where("app_id % 7 = 1").select(
         F.col("job_id").alias("user"), F.col("applied_at").alias("version_ts"), F.col("app_id").alias("version")
     )
-    got = relations.snapshot_asof(events, versions, "user", "applied_at", "app_id", "version_ts", "version", hot_rows)
+    got = relations.snapshot_asof(events, versions, "user", "applied_at", "app_id", "version_ts", "version")
     expected = (
         events.alias("e")
         .join(versions.alias("v"), F.expr("e.user = v.user and v.version_ts <= e.applied_at"), "left")

@@ -103,6 +103,18 @@ def test_stream_drops_repeats_and_resumes(spark, tmp_path):
     assert counts == {0: 2, 1: 3}
 
 
+def test_stream_counts_records_however_late(spark, tmp_path):
+    """Three batches; the last holds a record hours older than all before."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "event_id bigint, candidate_id bigint, flags string, ts timestamp"
+    for i, ts in enumerate(("2024-01-01 10:00:00", "2024-01-01 18:00:00", "2024-01-01 06:00:00")):
+        row = spark.createDataFrame([(i, 1, '{"tabSwitch": true}', ts)], "event_id bigint, candidate_id bigint, flags string, ts string")
+        row.withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        live.activity_stream_counts(stream, out, checkpoint).awaitTermination()
+    assert [r.tab_switch_count for r in live.current_counts(spark, out).collect()] == [3]
+
+
 def test_rescoring_stream_equals_batch(spark, small):
     a, b = (QUERIES[n](spark, small).select("app_id", "score") for n in ("rescore_on_apply", "chunk_maxsim"))
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
