@@ -71,7 +71,8 @@ def skill_match(docs: DataFrame, phrases: DataFrame, text: str = "text") -> Data
     its measured size.
     """
     lengths = phrases.agg(F.collect_set(F.size("phrase_tokens")).alias("n")).scalar()
-    grams = docs.select("doc_id", F.explode(_grams(tokenise(F.col(text)), lengths)).alias("_gram"))
+    tokens = docs.select("doc_id", tokenise(F.col(text)).alias("_tokens"), lengths.alias("_lengths"))
+    grams = tokens.select("doc_id", F.explode(_grams(F.col("_tokens"), F.col("_lengths"))).alias("_gram"))
     counted = grams.groupBy("doc_id", "_gram").agg(F.count(F.lit(1)).alias("_n"))
     whole = phrases.select("skill", F.array_join("phrase_tokens", " ").alias("_gram"))
     return counted.join(whole, "_gram").groupBy("doc_id", "skill").agg(F.sum("_n").alias("hits"))
