@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.session import written
+
 # ---- fixed values -------------------------------------------------------
 TERM = r"[\p{L}\p{N}_]{2,}"
 STUFFED_WEIGHT = 0.1
@@ -40,13 +42,15 @@ def tfidf(docs: DataFrame, text: str = "text", corpus: DataFrame | None = None)
     ``corpus`` is what the document frequencies are taken from, by default the
     documents themselves; terms it lacks are left out.
     """
-    counts = term_counts(docs, text)
+    # Counts and frequencies are stored: the texts are read once, and the join has
+    # two plain sides, so that a term of all documents can be split.
+    counts = written(term_counts(docs, text), "term-counts")
     fitted = counts if corpus is None else term_counts(corpus, text)
     n = (docs if corpus is None else corpus).agg(F.count(F.lit(1)).alias("n")).scalar()
-    # count_if over tf, always true, keeps tf in this branch: both uses of the
-    # counts are then the same exchange, and the texts are read only once.
-    frequency = fitted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    idf = frequency.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    frequency = fitted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = written(
+        frequency.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")), "term-weights"
+    )
     raw = counts.join(idf, "term").select(
         "doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw")
     )

@@ -442,7 +442,8 @@ def cosine_pair(e):
 
 
 def _maxsim(e: Entities, fn) -> DataFrame:
-    docs = e.vector_documents()
+    # Stored, so that the joins have plain sides and a hot job can be split.
+    docs = written(e.vector_documents(), "chunk-lists")
     return fn(e.vector_applications(), docs, docs)
 
 
@@ -829,7 +830,7 @@ def rescore_on_apply(e):
     orders = e.spark.readStream.schema(e.table("orders").schema).parquet(
         e.sf_dir, pathGlobFilter="orders.parquet"
     )
-    docs = e.vector_documents()
+    docs = written(e.vector_documents(), "chunk-lists")  # not listed anew for each batch
     # A stream cannot read a subquery's value inside its own plan: take it first.
     n = e.table("embeddings").count()
     apps = orders.select(

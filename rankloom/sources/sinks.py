@@ -12,16 +12,13 @@ from rankloom.session import written
 def vector_backfill(questions: DataFrame, encoder=hashed_encoder) -> DataFrame:
     """All questions with the vector of the reference answer recomputed for the
     subjective ones; a missing answer counts as empty."""
-    coded = embed(
-        questions.withColumn("_answer", F.coalesce("reference_answer", F.lit(""))),
-        "_answer", "_vector", encoder,
-    )
-    vector = F.when(F.col("question_type") == "subjective", F.col("_vector"))
-    if "reference_vector" in questions.columns:
-        vector = vector.otherwise(F.col("reference_vector"))
-    return written(
-        coded.withColumn("reference_vector", vector).drop("_answer", "_vector"), "questions"
-    )
+    if "reference_vector" not in questions.columns:
+        questions = questions.withColumn("reference_vector", F.lit(None).cast("array<float>"))
+    # Only what is written down anew is encoded.
+    wanted = F.coalesce(F.col("question_type") == "subjective", F.lit(False))
+    answers = questions.where(wanted).withColumn("_answer", F.coalesce("reference_answer", F.lit("")))
+    coded = embed(answers, "_answer", "_vector", encoder).withColumn("reference_vector", F.col("_vector"))
+    return written(questions.where(~wanted).union(coded.select(*questions.columns)), "questions")
 
 
 def score_writeback(rows: DataFrame, scores: DataFrame, key: str, column: str = "score") -> DataFrame:
