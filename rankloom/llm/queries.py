@@ -92,7 +92,7 @@ def op7_language_id(spark, sf_dir):
 
 #: Of the contract; the longest that fits decides.
 HOST_RULES = (
-    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/en/1"),
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
 #: Host labels that block where none of those fits.

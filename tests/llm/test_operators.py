@@ -436,7 +436,7 @@ def test_neighbours_vote(spark, docs, none):
 
 def test_url_rules(spark):
     urls = {
-        "https://a.example.org/es/x": ("example.org/es/", "block"), "http://EXAMPLE.org/en/12?q": ("example.org/en/1", "allow"),
+        "https://a.example.org/es/x": ("example.org/es/", "block"), "http://EXAMPLE.org/en/12?q": ("example.org/en/1", "block"),
         "https://example.org": (None, "allow"), "http://x.org/": ("org/", "allow"), "http://b.com/de/": ("com/de/", "block"),
         "http://b.com/fr/1#t": ("com/fr/", "allow"), "http://m.casino-win.com/en/": (None, "block"),
         "http://casino-winner.com/": (None, "allow"), "http://notorg/": (None, "allow"), "example.org/es/": (None, "allow"),
