@@ -8,7 +8,7 @@ import sys
 import time
 
 from rankloom.plans.registry import QUERIES
-from rankloom.session import build_session
+from rankloom.session import INPUT_TASKS, build_session
 
 HEADLINE = (
     "shortlist_by_match", "clean_text", "chunk_words", "jd_fields", "skill_pool",
@@ -27,6 +27,7 @@ def main() -> None:
         "bench", f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
+            INPUT_TASKS: cpus,  # the tables are files of one row group
             "spark.driver.memory": "16g",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -104,7 +104,7 @@ def best_chunks(wanted: pa.Array, offered: pa.Array) -> pa.Array:
     best = np.zeros(total, dtype=np.int32)
     top, low, mass = np.empty(total), np.empty(total), np.empty(total)
     shapes = count_w * (count_o.max(initial=0) + 1) + count_o
-    for rows in _same_shape(shapes, used, (count_w + count_o) * max(w.shape[1], 1)):
+    for rows in _same_shape(shapes, used, (count_w + count_o) * max(w.shape[1], 1) + count_w * count_o):
         cw, co = int(count_w[rows[0]]), int(count_o[rows[0]])
         left = w[start_w[rows][:, None] + np.arange(cw)]
         right = o[start_o[rows][:, None] + np.arange(co)]

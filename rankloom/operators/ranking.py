@@ -82,19 +82,22 @@ def final_selection(
     return top_fraction(open_rows, "job_id", "total_score", "candidate_id", fraction)
 
 
-def job_ranking(
-    applications: DataFrame,
-    stuffing: DataFrame,
-    generated: DataFrame,
-    skills: DataFrame,
-) -> DataFrame:
+def document_flags(stuffing: DataFrame, generated: DataFrame, skills: DataFrame) -> DataFrame:
+    """One narrow row per document, made when a version of it arrives and stored:
+    rankings need nothing else of its text."""
+    return (
+        stuffing.select("doc_id", "is_suspicious")
+        .join(generated.select("doc_id", "is_suspicious_ai"), "doc_id", "full")
+        .join(skills.select("doc_id", "skills"), "doc_id", "full")
+    )
+
+
+def job_ranking(applications: DataFrame, flags: DataFrame) -> DataFrame:
     """All applications ranked within their job, with the suspicion flags and
     skills of the resume (``doc_id``). Texts without a flag are not suspicious."""
     order = ranked(applications, ["job_id"], by_score("score", "app_id"))
     return (
-        order.join(stuffing.select("doc_id", "is_suspicious"), "doc_id", "left")
-        .join(generated.select("doc_id", "is_suspicious_ai"), "doc_id", "left")
-        .join(skills.select("doc_id", "skills"), "doc_id", "left")
+        order.join(flags, "doc_id", "left")
         .withColumns(
             {
                 "is_suspicious": F.coalesce("is_suspicious", F.lit(False)),

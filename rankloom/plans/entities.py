@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.categories import WEIGHTS
 from rankloom.operators.matching import chunk_lists
 from rankloom.operators.skills import gazetteer
-from rankloom.session import spread
+from rankloom.session import dealt
 from rankloom.sources.readers import entity_scan
 
 NOW = "1998-08-02 00:00:00"
@@ -180,7 +180,7 @@ class Entities:
     # texts
 
     def documents(self) -> DataFrame:
-        return spread(self.table("documents").select("doc_id", "text", "lang", "source"))
+        return dealt(self.table("documents").select("doc_id", "text", "lang", "source"))
 
     def skill_phrases(self) -> DataFrame:
         return gazetteer(self._phrases(), "phrase")
@@ -208,6 +208,7 @@ class Entities:
             .join(second, "k2")
             .select(
                 "doc_id",
+                F.concat_ws("/", "source", "lang").alias("owner"),
                 F.concat("text", F.lit("\nSkills: "), F.initcap("n1"), F.lit("-"), "t1", F.lit(", "), "n2", F.lit(". Also: "), "n1", F.lit("!")).alias("text"),
                 F.array_distinct(F.array("n1", F.substring_index("n2", " ", 1), F.lit("unseen"))).alias("wanted"),
             )
@@ -242,7 +243,7 @@ class Entities:
         for i, layout in enumerate(layouts):
             chosen = F.when(key % len(layouts) == i, layout).otherwise(chosen)
         return (
-            spread(self.table("part"))
+            dealt(self.table("part"))
             .withColumns({"item_id": key % n, "n_nationkey": (key % 25).cast("int")})
             .join(prose, "item_id")
             .join(nation, "n_nationkey")

@@ -37,6 +37,14 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def _first_day(days, x: str) -> str:
+    """The first of some ascending days that ``x`` is not beyond."""
+    return "CASE " + " ".join(f"WHEN {x} <= TIMESTAMP '{d}' THEN '{d}'" for d in days) + " END"
+
+
+CLOSING_DAYS = ("1998-03-01", "1998-06-01", "1998-08-02")
+SELECTING_DAYS = ("1994-01-01", "1998-08-02")
+
 # ---- entities ----------------------------------------------------------------
 
 JOBS = """jobs AS (SELECT c_custkey AS job_id, c_nationkey AS provider_id,
@@ -117,7 +125,7 @@ def _initcap(x: str) -> str:
 
 SKILLTEXTS = f"""skilltexts AS (SELECT doc_id, text || chr(10) || 'Skills: ' || {_initcap('p.p_name')} || '-' || lower(p.p_type)
   || ', ' || q.p_name || '. Also: ' || p.p_name || '!' AS text,
-  list_distinct([p.p_name, string_split(q.p_name, ' ')[1], 'unseen']) AS wanted
+  source || '/' || lang AS owner, list_distinct([p.p_name, string_split(q.p_name, ' ')[1], 'unseen']) AS wanted
   FROM documents
   JOIN part p ON p.p_partkey = doc_id % (SELECT count(*) FROM part)
   JOIN part q ON q.p_partkey = (doc_id * 7 + 3) % (SELECT count(*) FROM part))"""
@@ -204,6 +212,7 @@ ORACLES["doc_scan"] = (
     "SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) "
     "|| chr(10) || 'end' AS text FROM documents"
 )
+ORACLES["doc_files_scan"] = "SELECT text || chr(10) || 'end' || chr(10) AS text FROM benchmark"
 ORACLES["doc_ext_filter"] = """SELECT doc_id, path FROM (SELECT doc_id, source || '/cv.' || doc_id ||
   (['.pdf', '.TXT', '.docx', '.txt', '', '.Pdf.zip'])[CAST(doc_id % 6 AS INT) + 1] AS path FROM documents)
 WHERE lower(path) LIKE '%.pdf' OR lower(path) LIKE '%.txt'"""
@@ -388,21 +397,24 @@ def _tokens(x: str) -> str:
         f" regexp_extract(w, '^{edge}*(.*?)({edge}|\\.)*$', 1),"
         f" array_to_string(regexp_split_to_array(regexp_extract(regexp_replace(w, '^{edge}+', ''), '({edge}|\\.)*$'), ''), ' ')]"
     )
-    parts = f"list_transform(string_split({x}, ' '), lambda w: array_to_string({word}, ' '))"
+    plain = f"NOT regexp_matches(w, '^{edge}|({edge}|\\.)$')"  # most words: nothing to part
+    parts = f"list_transform(string_split({x}, ' '), lambda w: CASE WHEN {plain} THEN w ELSE array_to_string({word}, ' ') END)"
     return f"list_filter(string_split(array_to_string({parts}, ' '), ' '), lambda t: t <> '')"
 
 
 GAZ = f"""phrases AS (SELECT lower(p_name) AS skill FROM part UNION SELECT lower(string_split(p_name, ' ')[1]) FROM part
   UNION SELECT lower(p_name || '-' || p_type) FROM part),
 gaz AS (SELECT skill, {_tokens('skill')} AS pt FROM phrases)"""
-SKILL_HITS = f"""ctext AS MATERIALIZED (SELECT doc_id, wanted, {t6('text')} AS text FROM skilltexts),
+SKILL_HITS = f"""ctext AS MATERIALIZED (SELECT doc_id, wanted, owner, {t6('text')} AS text FROM skilltexts),
 toks AS MATERIALIZED (SELECT doc_id, {_tokens('text')} AS t FROM ctext),
 tok AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS t1 FROM toks),
 win AS (SELECT *, lead(t1, 1) OVER w AS t2, lead(t1, 2) OVER w AS t3, lead(t1, 3) OVER w AS t4 FROM tok
   WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-hits AS MATERIALIZED (SELECT doc_id, skill, count(*) AS hits FROM win JOIN gaz ON pt[1] = t1
-  AND (len(pt) < 2 OR pt[2] = t2) AND (len(pt) < 3 OR pt[3] = t3) AND (len(pt) < 4 OR pt[4] = t4) GROUP BY 1, 2),
-pool AS (SELECT doc_id, wanted, coalesce(s, []) AS skills FROM ctext
+whole AS MATERIALIZED (SELECT skill, array_to_string(pt, ' ') AS g, len(pt) AS n FROM gaz),
+grams AS (SELECT doc_id, unnest([t1, t1 || ' ' || t2, t1 || ' ' || t2 || ' ' || t3, t1 || ' ' || t2 || ' ' || t3 || ' ' || t4]) AS g
+  FROM win WHERE t1 IN (SELECT pt[1] FROM gaz)),
+hits AS MATERIALIZED (SELECT doc_id, skill, count(*) AS hits FROM grams JOIN whole USING (g) GROUP BY 1, 2),
+pool AS (SELECT doc_id, wanted, owner, text, coalesce(s, []) AS skills FROM ctext
   LEFT JOIN (SELECT doc_id, list(skill ORDER BY skill) AS s FROM hits GROUP BY 1) USING (doc_id))"""
 SKILL_CTES = (SKILLTEXTS, GAZ, SKILL_HITS)
 ORACLES["skill_match"] = _with(*SKILL_CTES) + "SELECT doc_id, skill, hits FROM hits"
@@ -572,6 +584,12 @@ CAND_RANKED = _ranked("cands", "job_id", "total_score", "candidate_id", "NOT fin
 ORACLES["final_selection"] = _with(CANDS, CAND_RANKED) + (
     f"SELECT job_id, rank, candidate_id, total_score, group_rows FROM ranked WHERE {TOP}"
 )
+ORACLES["final_rows"] = _with(CANDS, JOBS, SEEKERS, USERS, CAND_RANKED) + f"""SELECT candidate_id, job_id, email AS recipient,
+  'Final Selection – ' || job_title AS subject,
+  'Dear ' || username || ',' || chr(10) || chr(10) || 'You have been selected in the final list for the position: ' || job_title
+  || '.' || chr(10) || chr(10) || 'Congratulations.' || chr(10) AS message
+FROM (SELECT candidate_id, job_id, user_id AS seeker_id FROM ranked WHERE {TOP}) JOIN jobs USING (job_id)
+JOIN seekers USING (seeker_id) JOIN users USING (user_id)"""
 _QUOTA = "CASE question_type " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in QUOTAS.items()) + " END"
 ORACLES["stratified_test"] = _with(QUESTIONS) + f"""SELECT category, difficulty, question_type, draw, question_id FROM
 (SELECT *, CAST(row_number() OVER (PARTITION BY category, difficulty, question_type
@@ -606,6 +624,7 @@ FROM apps JOIN jobs USING (job_id) LEFT JOIN (SELECT l_orderkey, max(l_quantity)
 
 # ---- models and text statistics ----------------------------------------------------------------------------
 
+ORACLES["category_classify"] = "SELECT vec_id, label % 7 AS label, true AS named, true AS reload_agrees FROM embeddings"
 ORACLES["label_decode"] = f"SELECT vec_id, ({_NAMES})[CAST(label % 7 AS INT) + 1] AS category FROM embeddings"
 ORACLES["repetition_ratio"] = f"""SELECT doc_id, CASE WHEN len(g) > 0 THEN round((len(g) - len(list_distinct(g))) / len(g), 6) END AS ratio
 FROM (SELECT doc_id, list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS g
@@ -625,5 +644,13 @@ ORACLES["final_select_tick"] = _with(CANDS, CAND_RANKED) + f"""SELECT c.candidat
 LEFT JOIN (SELECT DISTINCT job_id FROM cands WHERE final_deadline_date <= {NOW} AND NOT final_email_sent) due ON due.job_id = c.job_id
 LEFT JOIN (SELECT * FROM ranked WHERE {TOP}) r ON r.candidate_id = c.candidate_id AND due.job_id IS NOT NULL"""
 ORACLES["rescore_on_apply"] = _with(VECS, VAPPS, PAIRS, SCORES) + "SELECT app_id, round(score, 6) AS score FROM vscores"
-ORACLES["resume_update"] = _with(CLEAN) + f"""SELECT owner, doc_id, text, CAST(ceil(len({_words('text')}) / 150) AS INT) AS chunks
-FROM (SELECT source || '/' || lang AS owner, max(doc_id) AS doc_id FROM documents GROUP BY 1) JOIN clean USING (doc_id)"""
+ORACLES["resume_update"] = _with(*SKILL_CTES) + f"""SELECT owner, doc_id, text, chunks,
+  '[' || array_to_string(list_transform(range(chunks), lambda i: '384'), ', ') || ']' AS dimensions,
+  true AS has_category, array_to_string(skills, '|') AS skills
+FROM (SELECT *, CAST(ceil(len({_words('text')}) / 150) AS INT) AS chunks FROM pool
+  JOIN (SELECT source || '/' || lang AS owner, max(doc_id) AS doc_id FROM documents GROUP BY 1) USING (owner, doc_id))"""
+ORACLES["close_once"] = _with(JOBS, APPS, APP_RANKED) + f"""SELECT job_id, app_id, rank, {_first_day(CLOSING_DAYS, 'deadline')} AS closed_at
+FROM ranked JOIN jobs USING (job_id) WHERE {TOP} AND active AND NOT email_sent AND deadline <= TIMESTAMP '{CLOSING_DAYS[-1]}'"""
+ORACLES["final_select_once"] = _with(CANDS, CAND_RANKED) + f"""SELECT job_id, candidate_id, rank, {_first_day(SELECTING_DAYS, 'earliest')} AS selected_at
+FROM ranked JOIN (SELECT job_id, min(final_deadline_date) AS earliest FROM cands WHERE NOT final_email_sent GROUP BY 1) USING (job_id)
+WHERE {TOP} AND earliest <= TIMESTAMP '{SELECTING_DAYS[-1]}'"""

@@ -22,10 +22,11 @@ from rankloom.operators import (
     skills,
     spans,
     text_stats,
+    ticks,
 )
 from rankloom.plans.entities import Entities, now
 from rankloom.plans.flagship import shortlist_by_match
-from rankloom.session import new_table_path, spread, written
+from rankloom.session import dealt, new_table_path, written
 from rankloom.sources import readers, sinks
 from rankloom.streaming import activity as live
 from rankloom.streaming import applications as live_apps
@@ -35,6 +36,8 @@ QUERIES: dict[str, Query] = {}
 
 BUZZWORDS = ("the", "that", "and", "with", "la", "der", "que")
 QUESTIONS_PER_FILE = 1000
+CLOSING_DAYS = ("1998-03-01", "1998-06-01", "1998-08-02")
+SELECTING_DAYS = ("1994-01-01", "1998-08-02")
 
 
 def query(fn: Callable[[Entities], DataFrame]) -> Callable[[Entities], DataFrame]:
@@ -68,6 +71,17 @@ def doc_scan(e):
     return e.documents().select("doc_id", readers.decoded(raw).alias("text"))
 
 
+@query
+def doc_files_scan(e):
+    """Every benchmark text from a file of its own, one in three with a broken byte."""
+    broken = F.when(F.col("item_id") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    raw = F.concat(F.encode("text", "UTF-8"), broken, F.encode(F.lit("\r\nend"), "UTF-8"))
+    path = new_table_path(e.spark, "text-files")
+    files = e.table("benchmark").select(raw.cast("string").alias("value"))
+    files.write.options(maxRecordsPerFile=1, compression="none").text(path)
+    return readers.doc_scan(e.spark, path).select("text")
+
+
 @query
 def doc_ext_filter(e):
     ext = F.get(
@@ -119,9 +133,9 @@ def span_corpus_scan(e):
     )
     cut = F.when(F.col("item_id") % 10 == 3, F.substring_index("json", '"annotations"', 1))
     path = new_table_path(e.spark, "span-corpus")
-    items.select("item_id", F.coalesce(cut, "json").alias("value")).write.partitionBy(
-        "item_id"
-    ).option("compression", "none").text(path)
+    items.select(F.coalesce(cut, "json").alias("value")).write.options(
+        maxRecordsPerFile=1, compression="none"
+    ).text(path)
     return _span_corpus(e.spark, path)
 
 
@@ -142,13 +156,11 @@ def span_jsonl_scan(e):
 
 @query
 def category_dim_scan(e):
-    """The nations as one label map."""
+    """Files of label maps, one map per nation."""
     path = new_table_path(e.spark, "label-map")
-    entry = F.struct(F.col("n_nationkey").cast("string"), F.col("n_name"))
-    e.table("nation").agg(
-        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
-    ).write.text(path)
-    return readers.category_dim_scan(e.spark, path)
+    entry = F.create_map(F.col("n_nationkey").cast("string"), "n_name")
+    e.table("nation").select(F.to_json(entry).alias("value")).write.text(path)
+    return readers.category_dim_scan(e.spark, path, lines=True)
 
 
 @query
@@ -427,7 +439,7 @@ def _vector_pairs(e: Entities) -> DataFrame:
     own = e.table("embeddings").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
     other = e.table("embeddings").select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
     return (
-        spread(e.table("orders"))
+        dealt(e.table("orders"))
         .select("o_orderkey", (F.col("o_orderkey") % n).alias("a_id"), (F.col("o_custkey") % n).alias("b_id"))
         .join(own, "a_id")
         .join(other, "b_id")
@@ -569,7 +581,7 @@ def flag_counts(e):
 
 
 def _answer_rows(e: Entities) -> DataFrame:
-    weighted, _ = _weighted(e, spread(e.answers()))
+    weighted, _ = _weighted(e, dealt(e.answers()))
     n = e.table("embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
     reference = e.table("embeddings").select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("reference_vector"))
     given = e.table("embeddings").select(F.col("vec_id").alias("g_id"), F.col("embedding").alias("answer_vector"))
@@ -595,7 +607,8 @@ def jobs_with_due(e):
 
 
 def _clean_documents(e: Entities) -> DataFrame:
-    return e.documents().withColumn("text", cleaning.clean_text(F.col("text")))
+    """Exchanged by document, so that counts per document need no further exchange."""
+    return e.documents().withColumn("text", cleaning.clean_text(F.col("text"))).repartition("doc_id")
 
 
 @query
@@ -630,8 +643,9 @@ def job_ranking(e):
     docs = e.table("documents").agg(F.count(F.lit(1)).alias("n")).scalar()
     apps = e.applications().withColumn("doc_id", F.col("app_id") % docs)
     # The cleaned texts serve two flags: cleaned and stored once.
-    stored = written(_clean_documents(e).select("doc_id", "text"), "clean-texts")
-    ranked = ranking.job_ranking(apps, _stuffing(stored), _generated(stored), _pool(e))
+    stored = written(_clean_documents(e).select("doc_id", "text"), "clean-texts").repartition("doc_id")
+    flags = written(ranking.document_flags(_stuffing(stored), _generated(stored), _pool(e)), "document-flags")
+    ranked = ranking.job_ranking(apps, flags)
     return ranked.select("job_id", "rank", "app_id", "score", "is_suspicious", "is_suspicious_ai", _list("skills").alias("skills"))
 
 
@@ -641,6 +655,12 @@ def shortlist_top_fraction(e):
     return top.select("job_id", "rank", "app_id", "score", "group_rows")
 
 
+@query
+def final_rows(e):
+    top = ranking.final_selection(e.candidates()).select("candidate_id", "job_id", F.col("user_id").alias("seeker_id"))
+    return lifecycle.final_rows(_with_user(e, top).drop("seeker_id"), e.jobs(), e.users())
+
+
 @query
 def empty_guard(e):
     """Selected applications per job: none where nobody applied."""
@@ -760,8 +780,15 @@ def category_classify(e):
     vecs = e.table("embeddings").select(
         "vec_id", F.col("embedding").alias("vector"), (F.col("label") % 7).alias("label")
     )
-    model = ml.loaded_model(ml.saved_model(e.spark, ml.fit_category_model(vecs)))
-    return ml.category_classify(vecs, model).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"), "category")
+    fitted = ml.fit_category_model(vecs)
+    model = ml.loaded_model(ml.saved_model(e.spark, fitted))
+    first = ml.category_classify(vecs, fitted).withColumnRenamed("prediction", "_first").drop("category")
+    out = ml.category_classify(first, model)
+    return out.select(
+        "vec_id", "label",
+        (F.col("category") == F.get(F.array(*map(F.lit, cat.CATEGORIES)), F.col("prediction").cast("int"))).alias("named"),
+        (F.col("prediction") == F.col("_first")).alias("reload_agrees"),
+    )
 
 
 @query
@@ -817,6 +844,34 @@ def close_due_jobs(e):
     return _job_columns(closed).join(picked, "job_id", "left")
 
 
+@query
+def close_once(e):
+    """Three ticks, the last one twice: every job is closed by the first it is due at."""
+    path = new_table_path(e.spark, "closing")
+    for day in (*CLOSING_DAYS, CLOSING_DAYS[-1]):
+        at = F.lit(day).cast("timestamp_ntz")
+        due = lifecycle.jobs_due(e.jobs(), at).select("job_id")
+        ticks.handled_once(
+            due, "job_id", path, day,
+            lambda jobs: ranking.shortlist_top_fraction(e.applications().join(jobs, "job_id", "left_semi")),
+        )
+    return ticks.outcomes(e.spark, "job_id", path).select("job_id", "app_id", "rank", F.col("tick").alias("closed_at"))
+
+
+@query
+def final_select_once(e):
+    """Two ticks, the last one twice: every job's final selection is made once."""
+    path = new_table_path(e.spark, "selecting")
+    for day in (*SELECTING_DAYS, SELECTING_DAYS[-1]):
+        due = lifecycle.jobs_with_due(e.candidates(), F.lit(day).cast("timestamp_ntz"))
+        ticks.handled_once(
+            due, "job_id", path, day,
+            lambda jobs: ranking.final_selection(e.candidates().join(jobs, "job_id", "left_semi")),
+        )
+    out = ticks.outcomes(e.spark, "job_id", path)
+    return out.select("job_id", "candidate_id", "rank", F.col("tick").alias("selected_at"))
+
+
 @query
 def final_select_tick(e):
     selected, flagged = lifecycle.final_select_tick(e.candidates(), now())
@@ -844,8 +899,15 @@ def rescore_on_apply(e):
 
 @query
 def resume_update(e):
-    """The newest text per source and language, cleaned, cut and matched again."""
-    docs = e.documents().select(F.concat_ws("/", "source", "lang").alias("owner"), "doc_id", "text")
+    """The newest text per source and language, prepared anew."""
+    docs = e.skill_texts().select("owner", "doc_id", "text")
     latest = live_apps.latest_versions(docs, "owner", F.col("doc_id"))
-    clean = latest.withColumn("text", cleaning.clean_text(F.col("text")))
-    return clean.select("owner", "doc_id", "text", F.size(cleaning.chunk_words(F.col("text"))).alias("chunks"))
+    names = F.array(*map(F.lit, cat.CATEGORIES))
+    labelled = ml.embed(e.documents(), "text", "vector").withColumn("label", F.length("lang") % 7)
+    out = live_apps.prepared(latest, e.skill_phrases(), ml.fit_category_model(labelled, trees=5))
+    return out.select(
+        "owner", "doc_id", "text", F.size("vectors").alias("chunks"),
+        F.transform("vectors", lambda v: F.size(v)).cast("string").alias("dimensions"),
+        F.array_contains(names, F.col("category")).alias("has_category"),
+        _list("skills").alias("skills"),
+    )

@@ -49,14 +49,11 @@ def written(df, name: str, **options: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL_INPUT = 1 << 30
+#: Set where tables come as single pieces, such as one file of one row group: the
+#: number of tasks they are dealt to. Unset, tables are read as they lie.
+INPUT_TASKS = "spark.rankloom.inputTasks"
 
 
-def spread(df):
-    """A small input over all cores. Files of a single row group come as one
-    task; up to a gigabyte, shuffling costs little beside work on texts and
-    vectors. Larger inputs come in enough pieces and stay as they are."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if int(plan.stats().sizeInBytes()) > SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def dealt(df):
+    tasks = df.sparkSession.conf.get(INPUT_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df

@@ -65,8 +65,9 @@ def label_map_rows(json_text: Column) -> Column:
     return F.explode(F.from_json(json_text, schemas.LABEL_MAP)).alias("id", "name")
 
 
-def category_dim_scan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(label_map_rows(F.col("value")))
+def category_dim_scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Label maps from JSON files: one map per file, or one per line."""
+    return spark.read.text(path, wholetext=not lines).select(label_map_rows(F.col("value")))
 
 
 def gazetteer_scan(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.matching import chunk_maxsim
+from rankloom.functions import cleaning
+from rankloom.operators import ml, skills
+from rankloom.operators.matching import chunk_lists, chunk_maxsim
+from rankloom.session import written
 
 
 def rescore_on_apply(
@@ -39,3 +42,20 @@ def latest_versions(versions: DataFrame, key: str, order: Column) -> DataFrame:
         .agg(F.max_by(F.struct(*versions.columns), order).alias("_row"))
         .select("_row.*")
     )
+
+
+def prepared(versions: DataFrame, phrases: DataFrame, model, encoder=ml.hashed_encoder) -> DataFrame:
+    """What the arrival of a version sets off: its text (``doc_id``, ``text``) cleaned,
+    cut into chunks with a vector each (``vectors``), classified by the vector of the
+    whole text (``category``) and searched for skills (``skills``). A text without a
+    word has no vectors and no skills."""
+    clean = versions.withColumn("text", cleaning.clean_text(F.col("text")))
+    clean = written(clean, "clean-versions")  # read by each of the following
+    chunks = clean.select("doc_id", F.posexplode(cleaning.chunk_words(F.col("text"))).alias("chunk_no", "chunk"))
+    lists = chunk_lists(ml.embed(chunks, "chunk", "vector", encoder).select("doc_id", "chunk_no", "vector"))
+    whole = ml.category_classify(ml.embed(clean, "text", "vector", encoder), model).select("doc_id", "category")
+    return (
+        clean.join(lists, "doc_id", "left")
+        .join(whole, "doc_id", "left")
+        .join(skills.skill_pool(clean, phrases), "doc_id", "left")
+    )

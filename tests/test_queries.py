@@ -8,7 +8,7 @@ from check import TABLES, compare
 from rankloom.plans.oracles import ORACLES
 from rankloom.plans.registry import QUERIES
 
-NO_SQL = {"category_classify"}
+NO_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
