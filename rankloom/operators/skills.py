@@ -52,27 +52,35 @@ def gazetteer(phrases: DataFrame, column: str = "phrase") -> DataFrame:
     )
 
 
-def _grams(tokens: Column, lengths: Column) -> Column:
-    """All runs of tokens of the given lengths, each joined by spaces."""
-    def of_length(t: Column, n: Column) -> Column:
-        starts = F.slice(t, F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(0)))
-        return F.transform(starts, lambda _, i: F.array_join(F.slice(t, i + 1, n), " "))
-
-    both = F.transform(F.array(tokens), lambda t: F.flatten(F.transform(lengths, lambda n: of_length(t, n))))
+def _runs(tokens: Column, longest: Column) -> Column:
+    """For each place the tokens from there on, at most ``longest``."""
+    both = F.transform(F.array(tokens), lambda t: F.transform(t, lambda _, i: F.slice(t, i + 1, longest)))
     return F.element_at(both, 1)
 
 
+def _grams(run: Column, lengths: Column) -> Column:
+    """The beginnings of a run that have one of the lengths, each joined by spaces."""
+    fitting = F.filter(lengths, lambda n: n <= F.size(run))
+    return F.transform(fitting, lambda n: F.array_join(F.slice(run, 1, n), " "))
+
+
 def skill_match(docs: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, skill, hits)``; overlapping phrases all count.
 
-    The runs of tokens of every length that a phrase has meet the whole phrases:
+    Places whose token begins no phrase leave first, in a semi join. The runs of
+    tokens of every length that a phrase has then meet the whole phrases: at most
     tokens times lengths rows, however many phrases start alike. They are counted
-    per text before they meet, and whether the phrase table is broadcast is left to
-    its measured size.
+    per text before they meet. Which side is broadcast is left to measured sizes.
     """
     lengths = phrases.agg(F.collect_set(F.size("phrase_tokens")).alias("n")).scalar()
-    tokens = docs.select("doc_id", tokenise(F.col(text)).alias("_tokens"), lengths.alias("_lengths"))
-    grams = tokens.select("doc_id", F.explode(_grams(F.col("_tokens"), F.col("_lengths"))).alias("_gram"))
+    tokens = docs.select("doc_id", tokenise(F.col(text)).alias("_tokens"), F.array_max(lengths).alias("_longest"))
+    # Outer: else the optimizer tests the size of each list by making it twice. What
+    # has no token has no first one, and meets nothing.
+    runs = tokens.select("doc_id", F.explode_outer(_runs(F.col("_tokens"), F.col("_longest"))).alias("_run"))
+    firsts = phrases.select(F.get("phrase_tokens", F.lit(0)).alias("_first")).distinct()
+    begun = runs.withColumn("_first", F.get("_run", F.lit(0))).join(firsts, "_first", "left_semi")
+    begun = begun.withColumn("_lengths", lengths)
+    grams = begun.select("doc_id", F.explode_outer(_grams(F.col("_run"), F.col("_lengths"))).alias("_gram"))
     counted = grams.groupBy("doc_id", "_gram").agg(F.count(F.lit(1)).alias("_n"))
     whole = phrases.select("skill", F.array_join("phrase_tokens", " ").alias("_gram"))
     return counted.join(whole, "_gram").groupBy("doc_id", "skill").agg(F.sum("_n").alias("hits"))
