@@ -342,6 +342,25 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in language_id.predicted(docs, nothing).collect()} == {"und"}
 
 
+def test_language_id_does_not_depend_on_what_travels(spark):
+    rng = random.Random(6)
+    en, es = ([a + b + e for a in ("sun", "le", "tor") for b in ("ne", "do", "ka")] for e in ("th", "ción"))
+    shared = ["gato", "mar", "sol"]
+    texts = [(i, " ".join(rng.choices(en + shared[:1], k=40)), "en") for i in range(60)]
+    texts += [(60 + i, " ".join(rng.choices(es + shared, k=8)), "es") for i in range(4)]
+    learn = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    asked = [*(t for _, t, _ in texts), "mar sol", "gato", "leción", "torz qq", "中", "mar " * 9 + "sunneth", None, ""]
+    df = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(3)
+    got = [
+        {r.doc_id: (r.lang_pred, r.score) for r in language_id.predicted(df, language_id.fit(learn, *most)).collect()}
+        for most in ((1000, 10_000), (5, 12), (0, 0))
+    ]
+    assert [got[0][i][0] for i in range(60, 66)] == ["es"] * 4 + ["es", got[0][65][0]]
+    for other in got[1:]:
+        assert {k: v[0] for k, v in other.items()} == {k: v[0] for k, v in got[0].items()}
+        assert all(abs(v[1] - got[0][k][1]) < 1e-9 for k, v in other.items())
+
+
 # ---- 8 -----------------------------------------------------------------------
 
 
