@@ -36,9 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents in windows of 4096, with their ids."""
-    pieces = packing.tokenised(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    """Token pieces of the documents in windows of 4096, with their token ids."""
+    pieces = packing.tokenised(docs, public_tokenizers.path("word_bpe_49k.json"), compressed=True)
+    return packing.pack(pieces, compressed=("ids",)).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -135,13 +135,21 @@ class WordCoder:
             yield ids[start:end]
 
 
+def _compressed(value: bytes) -> bytes:
+    return len(value).to_bytes(4, "little") + pa.compress(value, codec="zstd", asbytes=True)
+
+
+def _whole(value: bytes) -> bytes:
+    return pa.decompress(value[4:], int.from_bytes(value[:4], "little"), codec="zstd", asbytes=True)
+
+
 def tokenised(
     docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
-    doc_id: str = "doc_id", text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", compressed: bool = False,
 ) -> DataFrame:
     """``(doc_id, start, length, doc_tokens, ids)``: every row's ids and the end id,
     cut at multiples of the window. ``ids`` are little-endian unsigned 32-bit.
-    ``vocabulary`` is the tokenizer's file. A null or empty text is the end id alone."""
+    ``compressed`` ids are for ``pack``. ``vocabulary`` is the tokenizer's file. A null or empty text is the end id alone."""
     with open(vocabulary, encoding="utf-8") as file:
         content = file.read()
     shared = docs.sparkSession.sparkContext.broadcast(content)  # a vocabulary: a few MB
@@ -158,7 +166,8 @@ def tokenised(
                 if start + window >= n:
                     piece += last
                 for name, value in (
-                    ("doc_id", doc), ("start", start), ("length", len(piece) // 4), ("doc_tokens", n), ("ids", piece),
+                    ("doc_id", doc), ("start", start), ("length", len(piece) // 4), ("doc_tokens", n),
+                    ("ids", _compressed(piece) if compressed else piece),
                 ):
                     out[name].append(value)
         return out
@@ -227,11 +236,15 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {x: np.array(v, dtype=np.int64).T for x, v in rows.items()}
 
 
-def pack(pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
+def pack(
+    pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc_id", "start"),
+    compressed: tuple[str, ...] = (),
+) -> DataFrame:
     """``pieces`` (with ``length``, 1 to ``window``) with ``sequence_id`` and ``offset``.
 
     Every piece keeps its row and columns and lies in one sequence, gapless from
-    offset 0. Repeated rows are pieces of their own. No rows give no rows; a null
+    offset 0. Columns that came ``compressed`` are whole again. Repeated rows are
+    pieces of their own. No rows give no rows; a null
     length or one beyond the window is an error.
     """
     # Stored first: the range exchange reads its input twice, once for a sample.
@@ -256,7 +269,10 @@ def pack(pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc
             sequence[at] = base[row] + inside // k[row]
             offset[at] = start[row] + inside % k[row] * x
         out = {name: rows.column(name) for name in columns}
+        for name in compressed:
+            out[name] = [None if x is None else _whole(x) for x in out[name].to_pylist()]
         return out | {"sequence_id": sequence, "offset": offset}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return mapped(ranked, f"{schema}, sequence_id long, offset long", batch)
+    # Smaller runs of rows where they grow.
+    return mapped(ranked, f"{schema}, sequence_id long, offset long", batch, 1 << 20 if compressed else 1 << 23)

@@ -49,10 +49,10 @@ def op6_quality_rules(spark, sf_dir):
 @query
 def op8_packing(spark, sf_dir):
     pieces = packing.tokenised(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), compressed=True
     )
-    narrow = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(narrow).select(
+    # The digest is that of the ids that were packed.
+    return packing.pack(pieces, compressed=("ids",)).withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 

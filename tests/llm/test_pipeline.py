@@ -1,5 +1,9 @@
 """The pipeline's stages against what their operators say, one by one."""
 
+import zlib
+
+import public_tokenizers
+
 import corpus_pipeline
 from rankloom.llm import packing
 from rankloom.llm.queries import QUERIES
@@ -41,3 +45,12 @@ def test_run_is_the_stages_in_turn(spark, small):
     run = corpus_pipeline.run(spark, small)
     key = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
     assert sorted(run.select(*key).collect()) == sorted(docs.select(*key).collect())
+
+
+def test_sequences_can_be_built_from_the_result(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(30)
+    packed = corpus_pipeline.pack(spark, docs, small).collect()
+    want = packing.tokenised(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    key = lambda r: (r.doc_id, r.start)
+    assert {key(r): bytes(r.ids) for r in packed} == {key(r): bytes(r.ids) for r in want}
+    assert all(len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids) for r in packed)
