@@ -64,6 +64,29 @@ def mapped(
     return df.mapInArrow(run, schema)
 
 
+def folded(
+    df: DataFrame, schema: str, add: Callable[[object, pa.RecordBatch], object], finish: Callable[[object], dict],
+    part_bytes: int = 1 << 23,
+) -> DataFrame:
+    """One result for each partition with rows: ``add(total, batch)`` over its batches,
+    beginning with None, then ``finish(total)`` as columns of ``schema``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for part in parts(batch, part_bytes):
+                total = add(total, part)
+        if total is not None:
+            out = finish(total)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def parts(batch: pa.RecordBatch, part_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most about ``part_bytes``."""
     if batch.num_rows:

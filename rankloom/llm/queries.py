@@ -19,6 +19,7 @@ from rankloom.llm import (
     packing,
     simhash,
     url_filter,
+    whitening,
 )
 from rankloom.llm.common import in_bucket, table
 
@@ -141,3 +142,9 @@ def op5_log_bilinear(spark, sf_dir):
     return log_bilinear.scored(docs, model, counted).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.fit(vectors))
