@@ -15,6 +15,7 @@ from rankloom.llm import (
     knn_quality,
     language_id,
     log_bilinear,
+    one_permutation,
     order_minhash,
     packing,
     simhash,
@@ -148,3 +149,9 @@ def op5_log_bilinear(spark, sf_dir):
 def op11_whitening(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return whitening.whitened(vectors, whitening.fit(vectors))
+
+
+@query
+def op12_minhash(spark, sf_dir):
+    found = one_permutation.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
