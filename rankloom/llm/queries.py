@@ -19,6 +19,7 @@ from rankloom.llm import (
     order_minhash,
     packing,
     simhash,
+    spelling,
     url_filter,
     whitening,
 )
@@ -155,3 +156,8 @@ def op11_whitening(spark, sf_dir):
 def op12_minhash(spark, sf_dir):
     found = one_permutation.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
