@@ -405,23 +405,29 @@ def _tokens(x: str) -> str:
 GAZ = f"""phrases AS (SELECT lower(p_name) AS skill FROM part UNION SELECT lower(string_split(p_name, ' ')[1]) FROM part
   UNION SELECT lower(p_name || '-' || p_type) FROM part),
 gaz AS (SELECT skill, {_tokens('skill')} AS pt FROM phrases)"""
-SKILL_HITS = f"""ctext AS MATERIALIZED (SELECT doc_id, wanted, owner, {t6('text')} AS text FROM skilltexts),
-toks AS MATERIALIZED (SELECT doc_id, {_tokens('text')} AS t FROM ctext),
-tok AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS t1 FROM toks),
-win AS (SELECT *, lead(t1, 1) OVER w AS t2, lead(t1, 2) OVER w AS t3, lead(t1, 3) OVER w AS t4 FROM tok
-  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-whole AS MATERIALIZED (SELECT skill, array_to_string(pt, ' ') AS g, len(pt) AS n FROM gaz),
+WHOLE = "whole AS MATERIALIZED (SELECT skill, array_to_string(pt, ' ') AS g, pt[1] AS first FROM gaz)"
+
+
+def _hits(texts: str) -> str:
+    """The phrases in the cleaned ``text`` of a relation, counted per document."""
+    return f"""toks AS MATERIALIZED (SELECT doc_id, {_tokens('text')} AS t FROM {texts}),
+tok AS (SELECT doc_id, unnest(t) AS t1, unnest(t[2:]) AS t2, unnest(t[3:]) AS t3, unnest(t[4:]) AS t4 FROM toks),
 grams AS (SELECT doc_id, unnest([t1, t1 || ' ' || t2, t1 || ' ' || t2 || ' ' || t3, t1 || ' ' || t2 || ' ' || t3 || ' ' || t4]) AS g
-  FROM win WHERE t1 IN (SELECT pt[1] FROM gaz)),
-hits AS MATERIALIZED (SELECT doc_id, skill, count(*) AS hits FROM grams JOIN whole USING (g) GROUP BY 1, 2),
-pool AS (SELECT doc_id, wanted, owner, text, coalesce(s, []) AS skills FROM ctext
-  LEFT JOIN (SELECT doc_id, list(skill ORDER BY skill) AS s FROM hits GROUP BY 1) USING (doc_id))"""
-SKILL_CTES = (SKILLTEXTS, GAZ, SKILL_HITS)
+  FROM tok WHERE t1 IN (SELECT first FROM whole)),
+hits AS (SELECT doc_id, skill, count(*) AS hits FROM grams JOIN whole USING (g) GROUP BY 1, 2),
+lists AS MATERIALIZED (SELECT doc_id, list(skill ORDER BY skill) AS s FROM hits GROUP BY 1)"""
+
+
+SKILL_CTES = (
+    SKILLTEXTS, GAZ, WHOLE,
+    f"ctext AS (SELECT doc_id, {t6('text')} AS text FROM skilltexts)", _hits("ctext"),
+    "pool AS (SELECT doc_id, wanted, coalesce(s, []) AS skills FROM skilltexts LEFT JOIN lists USING (doc_id))",
+)
 ORACLES["skill_match"] = _with(*SKILL_CTES) + "SELECT doc_id, skill, hits FROM hits"
 ORACLES["skill_pool"] = _with(*SKILL_CTES) + "SELECT doc_id, array_to_string(skills, '|') AS skills FROM pool"
 ORACLES["skill_overlap"] = _with(*SKILL_CTES) + """SELECT doc_id,
-  array_to_string(list_sort(list_filter(wanted, lambda w: list_contains(skills, w))), '|') AS shared,
-  round(len(list_filter(wanted, lambda w: list_contains(skills, w))) / len(wanted), 6) AS ratio FROM pool"""
+  array_to_string(list_sort(list_intersect(wanted, skills)), '|') AS shared,
+  round(len(list_intersect(wanted, skills)) / len(wanted), 6) AS ratio FROM pool"""
 ORACLES["missing_skills"] = _with(*SKILL_CTES) + """SELECT doc_id,
   array_to_string(list_sort(list_filter(wanted, lambda w: NOT list_contains(skills, w))), '|') AS missing FROM pool"""
 
@@ -594,7 +600,28 @@ _QUOTA = "CASE question_type " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in QUO
 ORACLES["stratified_test"] = _with(QUESTIONS) + f"""SELECT category, difficulty, question_type, draw, question_id FROM
 (SELECT *, CAST(row_number() OVER (PARTITION BY category, difficulty, question_type
   ORDER BY md5('round-1:' || question_id), question_id) AS INT) AS draw FROM questions) WHERE draw <= {_QUOTA}"""
-ORACLES["question_union"] = ORACLES["stratified_test"]
+_PART = "CASE question_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(QUOTAS)) + " END"
+ORACLES["question_union"] = f"SELECT *, CAST({_PART} AS INT) AS part FROM ({ORACLES['stratified_test']})"
+# Drawn one after the other; what is there already gives way to the highest number, behind it.
+ORACLES["test_per_candidate"] = f"""WITH RECURSIVE {JOBS}, {CANDS}, {QUESTIONS},
+ranked AS (SELECT question_id, category, difficulty, question_type, count(*) OVER g AS size,
+  row_number() OVER (g ORDER BY md5('round-1:' || question_id), question_id) - 1 AS rank
+  FROM questions WINDOW g AS (PARTITION BY category, difficulty, question_type)),
+sizes AS (SELECT category, difficulty, question_type, size, least(size, {_QUOTA}) AS wanted FROM ranked GROUP BY ALL),
+starts AS (SELECT candidate_id, ({_CATS[:-1]}, 'no questions'])[CAST(job_id % 9 AS INT) + 1] AS category,
+  CASE WHEN experience <= 2 THEN 'basic' WHEN experience <= 5 THEN 'intermediate' ELSE 'hard' END AS difficulty
+  FROM cands JOIN jobs USING (job_id) WHERE NOT test_taken),
+steps AS (SELECT candidate_id, category, difficulty, question_type, size, wanted, 0 AS j, CAST([] AS BIGINT[]) AS chosen
+  FROM starts JOIN sizes USING (category, difficulty)
+  UNION ALL SELECT candidate_id, category, difficulty, question_type, size, wanted, j + 1,
+    CASE WHEN place > 0 THEN list_concat(list_append(chosen[:place], highest), chosen[place + 1:]) ELSE list_prepend(number, chosen) END
+  FROM (SELECT *, coalesce(list_position(chosen, number), 0) AS place FROM
+    (SELECT *, size - wanted + j AS highest,
+      CAST('0x' || substr(md5('round-1:' || candidate_id || ':' || question_type || ':' || j), 1, 15) AS BIGINT) % (size - wanted + j + 1) AS number
+     FROM steps WHERE j < wanted))),
+drawn AS (SELECT candidate_id, category, difficulty, question_type, unnest(chosen) AS rank, generate_subscripts(chosen, 1) AS draw
+  FROM steps WHERE j = wanted)
+SELECT candidate_id, question_type, CAST(draw AS INT) AS draw, question_id FROM drawn JOIN ranked USING (category, difficulty, question_type, rank)"""
 ORACLES["first_match"] = _with(CANDS) + (
     "SELECT user_id, job_id, min(candidate_id) AS candidate_id FROM cands WHERE test_taken GROUP BY 1, 2"
 )
@@ -644,11 +671,15 @@ ORACLES["final_select_tick"] = _with(CANDS, CAND_RANKED) + f"""SELECT c.candidat
 LEFT JOIN (SELECT DISTINCT job_id FROM cands WHERE final_deadline_date <= {NOW} AND NOT final_email_sent) due ON due.job_id = c.job_id
 LEFT JOIN (SELECT * FROM ranked WHERE {TOP}) r ON r.candidate_id = c.candidate_id AND due.job_id IS NOT NULL"""
 ORACLES["rescore_on_apply"] = _with(VECS, VAPPS, PAIRS, SCORES) + "SELECT app_id, round(score, 6) AS score FROM vscores"
-ORACLES["resume_update"] = _with(*SKILL_CTES) + f"""SELECT owner, doc_id, text, chunks,
+ORACLES["resume_update"] = _with(
+    SKILLTEXTS, GAZ, WHOLE,
+    "newest AS (SELECT source || '/' || lang AS owner, max(doc_id) AS doc_id FROM documents GROUP BY 1)",
+    f"ctext AS MATERIALIZED (SELECT owner, doc_id, {t6('text')} AS text FROM skilltexts JOIN newest USING (owner, doc_id))",
+    _hits("ctext"),
+) + f"""SELECT owner, doc_id, text, chunks,
   '[' || array_to_string(list_transform(range(chunks), lambda i: '384'), ', ') || ']' AS dimensions,
-  true AS has_category, array_to_string(skills, '|') AS skills
-FROM (SELECT *, CAST(ceil(len({_words('text')}) / 150) AS INT) AS chunks FROM pool
-  JOIN (SELECT source || '/' || lang AS owner, max(doc_id) AS doc_id FROM documents GROUP BY 1) USING (owner, doc_id))"""
+  true AS has_category, array_to_string(coalesce(s, []), '|') AS skills
+FROM (SELECT *, CAST(ceil(len({_words('text')}) / 150) AS INT) AS chunks FROM ctext) LEFT JOIN lists USING (doc_id)"""
 ORACLES["close_once"] = _with(JOBS, APPS, APP_RANKED) + f"""SELECT job_id, app_id, rank, {_first_day(CLOSING_DAYS, 'deadline')} AS closed_at
 FROM ranked JOIN jobs USING (job_id) WHERE {TOP} AND active AND NOT email_sent AND deadline <= TIMESTAMP '{CLOSING_DAYS[-1]}'"""
 ORACLES["final_select_once"] = _with(CANDS, CAND_RANKED) + f"""SELECT job_id, candidate_id, rank, {_first_day(SELECTING_DAYS, 'earliest')} AS selected_at

@@ -684,6 +684,20 @@ def stratified_test(e):
     return draw.select("category", "difficulty", "question_type", "draw", "question_id")
 
 
+@query
+def test_per_candidate(e):
+    """A drawn test for every candidate that has not submitted one, by the
+    experience the job asks for."""
+    topics = F.array(*[F.lit(row[0]) for row in cat.WEIGHTS], F.lit("unlisted"), F.lit("no questions"))
+    jobs = e.jobs().select(
+        "job_id", F.get(topics, (F.col("job_id") % 9).cast("int")).alias("category"),
+        cat.experience_bucket(F.col("experience")).alias("difficulty"),
+    )
+    starts = e.candidates().where(~F.col("test_taken")).join(jobs, "job_id")
+    drawn = sampling.test_per_candidate(starts, e.questions(), "round-1")
+    return drawn.select("candidate_id", "question_type", "draw", "question_id")
+
+
 @query
 def first_match(e):
     """The first submitted test, if any, per user and job."""
@@ -694,7 +708,7 @@ def first_match(e):
 @query
 def question_union(e):
     draw = sampling.question_union(e.questions(), "round-1")
-    return draw.select("category", "difficulty", "question_type", "draw", "question_id")
+    return draw.select("category", "difficulty", "part", "question_type", "draw", "question_id")
 
 
 @query
