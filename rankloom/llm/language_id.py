@@ -44,25 +44,39 @@ def grams_of(word: str, size: int) -> list[str]:
     return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
 
+def pieces(word: str) -> list[str]:
+    """A long run in pieces of 64 letters, each beginning with the last three of the
+    one before."""
+    step = LONGEST_WORD - LONGEST_GRAM + 1
+    return [word[i : i + LONGEST_WORD] for i in range(0, max(1, len(word) - LONGEST_GRAM + 1), step)]
+
+
 def _names(langs: list[str]) -> list[str]:
     return [f"n{i}" for i in range(len(langs))]
 
 
 def word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
     """``(word, batches, n0, n1, ...)``: each word's count in each of ``langs`` over all rows of
-    ``docs`` (``text``, ``lang``), summed per batch before the shuffle. Words beyond
-    64 letters are left to their n-grams."""
+    ``docs`` (``text``, ``lang``), summed per batch before the shuffle. Runs beyond 64
+    letters count in pieces of 64, which overlap so that no n-gram is lost."""
     def batch(rows: pa.RecordBatch) -> dict:
         words, word, offsets = words_of(rows.column("text"))
         own = rows.column("lang").dictionary_encode()
         lang = np.repeat(own.indices.to_numpy(zero_copy_only=False), np.diff(offsets)).astype(np.int64)
         pair, n = np.unique(lang * max(1, len(words)) + word, return_counts=True)
-        short = np.array([len(w) <= LONGEST_WORD for w in words], dtype=bool)[pair % max(1, len(words))]
+        size = max(1, len(words))
+        short = np.array([len(w) <= LONGEST_WORD for w in words], dtype=bool)[pair % size]
+        cut = Counter()
+        for p, times in zip(pair[~short].tolist(), n[~short].tolist(), strict=True):
+            for piece in pieces(words[p % size]):
+                cut[p // size, piece] += times
         pair, n = pair[short], n[short]
         return {
-            "lang": own.dictionary.take(pa.array(pair // max(1, len(words)))),
-            "word": pa.array(words, pa.string()).take(pa.array(pair % max(1, len(words)))),
-            "n": n,
+            "lang": own.dictionary.take(pa.array([*(pair // size).tolist(), *(lang for lang, _ in cut)], pa.int64())),
+            "word": pa.concat_arrays([
+                pa.array(words, pa.string()).take(pa.array(pair % size)), pa.array([piece for _, piece in cut], pa.string()),
+            ]),
+            "n": [*n.tolist(), *cut.values()],
         }
 
     usable = docs.where("lang is not null and text is not null").select("lang", "text")
