@@ -34,6 +34,7 @@ NEIGHBOURS = 33
 SHARPNESS = 8.0
 BLOCK = 2048
 SEED = 7
+LONGEST_KEPT = 64  # bytes of a term whose hash is kept
 
 _SHAPE = bytes(
     ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c
@@ -44,6 +45,8 @@ _hashed: dict[bytes, int] = {}
 
 
 def _bucket(term: bytes, buckets: int) -> int:
+    if len(term) > LONGEST_KEPT:
+        return zlib.crc32(term) % buckets
     got = _hashed.get(term)
     if got is None:
         if len(_hashed) > 200_000:
@@ -65,7 +68,7 @@ def terms(text: bytes, buckets: int = BUCKETS) -> dict[int, float]:
     for word, n in counted.items():
         shapes[_RUN.sub(rb"\1", word.translate(_SHAPE))] += n
     for shape, n in shapes.items():
-        out[_bucket(b"s" + shape[:32], buckets)] += n
+        out[_bucket(b"s" + shape, buckets)] += n
     out[_bucket(b"again", buckets)] += sum(a == b for a, b in zip(words, words[1:]))
     out[_bucket(b"varied%d" % (8 * len(counted) // len(words)), buckets)] += len(words)
     return out
@@ -115,11 +118,11 @@ class Neighbours:
         k = min(self.neighbours, len(self.vectors))
         for start in range(0, len(vectors), BLOCK):
             cosines = vectors[start : start + BLOCK] @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0.0).astype(np.float64) ** SHARPNESS
-            weight *= self.votes[near]
-            total = weight.sum(axis=1)
-            good = (weight * self.labels[near]).sum(axis=1)
+            last = np.partition(cosines, -k, axis=1)[:, -k]
+            text, near = np.nonzero(cosines >= last[:, None])  # with all that tie with the last
+            weight = np.maximum(cosines[text, near], 0.0).astype(np.float64) ** SHARPNESS * self.votes[near]
+            total = np.bincount(text, weight, minlength=len(cosines))
+            good = np.bincount(text, weight * self.labels[near], minlength=len(cosines))
             voted = total > 1e-12
             out[start : start + BLOCK][voted] = good[voted] / total[voted]
         return np.clip(out, 0.0, 1.0)
@@ -165,7 +168,8 @@ def fit(
     """Fit on ``labels`` (``doc_id``, ``quality`` 0/1) of the rows that are ``usable``.
 
     An id marked twice counts as its lower label; null labels and ids are left
-    out, equal hashes go by the id.
+    out, equal hashes go by the id. Of several rows with a picked id the one of the
+    smallest text hash is the neighbour, so repeated rows weigh no more.
     """
     marks = labels.where("doc_id is not null and quality in (0, 1)")
     if usable is not None:
@@ -180,22 +184,28 @@ def fit(
     def batch(rows: pa.RecordBatch) -> dict:
         pairs = [_sparse(t, buckets) for t in texts_of(rows)]
         return {
-            "doc_id": rows.column("doc_id"), "quality": rows.column("quality"),
+            "doc_id": rows.column("doc_id"), "quality": rows.column("quality"), "text_hash": rows.column("text_hash"),
             "k": [p[0] for p in pairs], "v": [p[1] for p in pairs],
         }
 
-    # At most 2 * per_class ids on the picked side.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+    # At most 2 * per_class ids on the picked side, and one row for each is collected.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(
         F.broadcast(picked.select(F.col("doc_id").cast("long"), "quality")), "doc_id"
     )
-    rows = mapped(texts, "doc_id long, quality int, k array<int>, v array<float>", batch).collect()
+    found = mapped(texts, "doc_id long, quality int, text_hash long, k array<int>, v array<float>", batch)
+    one = F.min_by(F.struct("quality", "k", "v"), "text_hash").alias("r")
+    rows = found.groupBy("doc_id").agg(one).select("doc_id", "r.*").collect()
     rows.sort(key=lambda r: (r.doc_id, r.k))
     y = np.array([r.quality for r in rows], dtype=np.float64)
     return fit_rows([(r.k, r.v) for r in rows], y, (by_class.get(0, 0), by_class.get(1, 0)), buckets, dimensions, neighbours)
 
 
 def score(docs: DataFrame, model: Neighbours, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, score)`` for every row; null and empty texts get the prior."""
+    """``(doc_id, score)`` for every row; null and empty texts get the prior.
+
+    All neighbours that tie with the last one vote. Repeated rows stay and agree; no
+    rows give no rows, and without a labelled row every text gets the prior, 0.5.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batch(rows: pa.RecordBatch) -> dict:
