@@ -20,6 +20,8 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
+from itertools import chain, compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,55 @@ WORD_END = "</w>"
 # ASCII marks without the apostrophe, and a letter of Latin-1 in UTF-8.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LATIN = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]").match
+PLAIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]+$"
 TOGETHER = 200
 
 
+class Generation:
+    """Words with their ids, end to end in one growing buffer of the narrowest type."""
+
+    def __init__(self, dtype: type) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids = np.empty(1 << 16, dtype=dtype)
+        self.ends = np.zeros(1 << 14, dtype=np.int64)  # where each word's ids end
+
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New words and their ids, end to end; returns the words' numbers."""
+        n, filled = len(self.number), int(self.ends[len(self.number)])
+        self.ids = _grown(self.ids, filled + len(ids))
+        self.ends = _grown(self.ends, n + len(words) + 1)
+        self.ids[filled : filled + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(words)] = filled + np.cumsum(sizes)
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        return np.arange(n, n + len(words))
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, -1 for those that are not there."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+    def laid_out(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, end to end, and where each word's end."""
+        first = self.ends[number]
+        sizes = self.ends[number + 1] - first
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(first - (ends - sizes), sizes)], ends
+
+
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(values):
+        return values
+    out = np.zeros(max(size, 2 * len(values)), dtype=values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 class WordCoder:
     """Ids of texts, word by word. The normaliser and the pattern of the
     vocabulary never look across ASCII white space, nor from a letter or digit into
     the marks behind it, so a word's ids do not depend on its neighbours, and
-    repeated words are looked up."""
+    repeated words are looked up. Words are kept in two generations: when the newer
+    is full the older leaves, but for what was used since."""
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,47 +106,61 @@ class WordCoder:
         self.light.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         ])
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.dtype = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
+        self.newer, self.older = Generation(self.dtype), Generation(self.dtype)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
-
-    def _of_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        texts = [w.decode() for w in words]
+    def _of_words(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words in another order, their ids end to end, and how many each has."""
         # Words of letters up to Latin Extended-A are composed already, are lowered
         # letter by letter and are one pre-token each: many are coded at a time and
         # taken apart at the ends of words.
-        plain = [t.isalpha() and max(t) < "\u0130" for t in texts]
-        some = [i for i, p in enumerate(plain) if p]
+        plain = pc.match_substring_regex(pa.array(words, pa.binary()).cast(pa.string()), PLAIN).to_pylist()
+        some, rest = list(compress(words, plain)), list(compress(words, map(not_, plain)))
+        ids, sizes = [np.empty(0, dtype=self.dtype)], [np.empty(0, dtype=np.int64)]
         for start in range(0, len(some), TOGETHER):
-            part = some[start : start + TOGETHER]
-            [coded] = self.light.encode_batch_fast([" ".join([texts[i] for i in part]).lower()], add_special_tokens=False)
-            ids = np.array(coded.ids, dtype="<u4")
-            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            data, at = ids.tobytes(), 0
-            for i, end in zip(part, ends, strict=True):
-                yield words[i], data[at:end]
-                at = end
-        rest = [i for i, p in enumerate(plain) if not p]
+            text = b" ".join(some[start : start + TOGETHER]).decode().lower()
+            [coded] = self.light.encode_batch_fast([text], add_special_tokens=False)
+            ids.append(np.array(coded.ids, dtype=self.dtype))
+            sizes.append(np.diff(np.flatnonzero(self.ends[ids[-1]]), prepend=-1))
         for start in range(0, len(rest), TOGETHER):
-            part = rest[start : start + TOGETHER]
-            for i, ids in zip(part, self._ids([texts[i] for i in part]), strict=True):
-                yield words[i], ids
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Add the ids of new words; marks at a word's end are words of their own."""
-        known, cut, whole = self.known, [], []
-        for w in new:
+            texts = [w.decode() for w in rest[start : start + TOGETHER]]
+            found = [c.ids for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(found), dtype=self.dtype))
+            sizes.append(np.fromiter(map(len, found), dtype=np.int64))
+        return some + rest, np.concatenate(ids), np.concatenate(sizes)
+
+    def _coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids end to end, and how many each has; marks at a word's end
+        are words of their own."""
+        halves, count = [], []
+        for w in words:
             base = w.rstrip(MARKS)
             if 0 < len(base) < len(w) and (base[-1:].isalnum() or _LATIN(base, len(base) - 2)):
-                cut.append((w, base, w[len(base) :]))
+                halves += (base, w[len(base) :])
+                count.append(2)
             else:
-                whole.append(w)
-        halves = {part for _, base, marks in cut for part in (base, marks)}
-        known.update(self._of_words([*halves.difference(known, whole), *whole]))
-        for w, base, marks in cut:
-            known[w] = known[base] + known[marks]
+                halves.append(w)
+                count.append(1)
+        found = Generation(self.dtype)
+        found.add(*self._of_words(list(dict.fromkeys(halves))))
+        ids, ends = found.laid_out(found.find(halves))
+        return ids, np.diff(ends[np.cumsum(np.array(count, dtype=np.int64)) - 1], prepend=0)
+
+    def _numbers(self, words: list[bytes]) -> tuple[Generation, np.ndarray]:
+        """Where the words' ids are."""
+        if len(self.newer.number) + len(words) > CACHED:
+            self.older, self.newer = self.newer, Generation(self.dtype)
+        newer, older = self.newer, self.older
+        number = newer.find(words)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            known = older.find([words[i] for i in missing])
+            used = known >= 0
+            ids, ends = older.laid_out(known[used])
+            number[missing[used]] = newer.add([words[i] for i in missing[used]], ids, np.diff(ends, prepend=0))
+            new = [words[i] for i in missing[~used]]
+            number[missing[~used]] = newer.add(new, *self._coded(new))
+        return newer, number
 
     def encode(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
         """The ids of each text (null is empty), unsigned 32-bit."""
@@ -111,24 +168,19 @@ class WordCoder:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_pylist()
-        if len(self.known) + len(words) > CACHED:
-            self.known = {b"": b""}
-        known = self.known
-        new = [w for w in words if w not in known]
-        self._learn(new)
-        pool = [known[w] for w in words]
-        for w in new:
-            if len(w) > LONGEST_CACHED:
-                del known[w]
-        # Lay out each word's ids from the pool of the different words.
-        size = np.fromiter(map(len, pool), dtype=np.int64, count=len(pool)) // 4
-        first = np.cumsum(size) - size
-        word = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = size[word]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(first[word] - (ends - lengths), lengths)
-        ids = np.frombuffer(b"".join(pool), dtype="<u4")[at]
+        long = [w for w in words if len(w) > LONGEST_CACHED]
+        if long:  # coded for this batch alone
+            here = Generation(self.dtype)
+            short = [w for w in words if len(w) <= LONGEST_CACHED]
+            kept, number = self._numbers(short)
+            ids, ends = kept.laid_out(number)
+            here.add(short, ids, np.diff(ends, prepend=0))
+            here.add(long, *self._coded(long))
+            number = here.find(words)
+        else:
+            here, number = self._numbers(words)
+        ids, ends = here.laid_out(number[coded.indices.to_numpy(zero_copy_only=False)])
+        ids = ids.astype("<u4")
         offsets = split.offsets.to_numpy()
         edges = np.concatenate([[0], ends])[offsets - offsets[0]]
         for start, end in zip(edges[:-1], edges[1:], strict=True):
