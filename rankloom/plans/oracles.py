@@ -680,6 +680,7 @@ ORACLES["resume_update"] = _with(
   '[' || array_to_string(list_transform(range(chunks), lambda i: '384'), ', ') || ']' AS dimensions,
   true AS has_category, array_to_string(coalesce(s, []), '|') AS skills
 FROM (SELECT *, CAST(ceil(len({_words('text')}) / 150) AS INT) AS chunks FROM ctext) LEFT JOIN lists USING (doc_id)"""
+ORACLES["resume_update_stream"] = ORACLES["resume_update"]
 ORACLES["close_once"] = _with(JOBS, APPS, APP_RANKED) + f"""SELECT job_id, app_id, rank, {_first_day(CLOSING_DAYS, 'deadline')} AS closed_at
 FROM ranked JOIN jobs USING (job_id) WHERE {TOP} AND active AND NOT email_sent AND deadline <= TIMESTAMP '{CLOSING_DAYS[-1]}'"""
 ORACLES["final_select_once"] = _with(CANDS, CAND_RANKED) + f"""SELECT job_id, candidate_id, rank, {_first_day(SELECTING_DAYS, 'earliest')} AS selected_at

@@ -911,17 +911,38 @@ def rescore_on_apply(e):
     return e.spark.read.parquet(path).select("app_id", _r("score").alias("score"))
 
 
-@query
-def resume_update(e):
-    """The newest text per source and language, prepared anew."""
-    docs = e.skill_texts().select("owner", "doc_id", "text")
-    latest = live_apps.latest_versions(docs, "owner", F.col("doc_id"))
-    names = F.array(*map(F.lit, cat.CATEGORIES))
+def _category_model(e: Entities):
     labelled = ml.embed(e.documents(), "text", "vector").withColumn("label", F.length("lang") % 7)
-    out = live_apps.prepared(latest, e.skill_phrases(), ml.fit_category_model(labelled, trees=5))
-    return out.select(
+    return ml.fit_category_model(labelled, trees=5)
+
+
+def _updated(resumes: DataFrame) -> DataFrame:
+    names = F.array(*map(F.lit, cat.CATEGORIES))
+    return resumes.select(
         "owner", "doc_id", "text", F.size("vectors").alias("chunks"),
         F.transform("vectors", lambda v: F.size(v)).cast("string").alias("dimensions"),
         F.array_contains(names, F.col("category")).alias("has_category"),
         _list("skills").alias("skills"),
     )
+
+
+@query
+def resume_update(e):
+    """The newest text per source and language, prepared anew."""
+    docs = e.skill_texts().select("owner", "doc_id", "text")
+    latest = live_apps.latest_versions(docs, "owner", F.col("doc_id"))
+    return _updated(live_apps.prepared(latest, e.skill_phrases(), _category_model(e)))
+
+
+@query
+def resume_update_stream(e):
+    """All versions in three files, each with old and new ones, and the first file once
+    more at the end; one file comes at a time."""
+    arriving, (path, checkpoint) = new_table_path(e.spark, "versions"), live.stream_places(e.spark, "resumes")
+    docs = written(e.skill_texts().select("owner", "doc_id", "text"), "resume-versions")
+    for part in (0, 2, 1, 0):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(arriving)
+    stream = e.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    phrases = written(e.skill_phrases(), "phrases")  # read by every batch
+    live_apps.resume_update_stream(stream, phrases, _category_model(e), path, checkpoint, merged=2).awaitTermination()
+    return _updated(live_apps.resumes(path, merged=2).current(e.spark))

@@ -9,6 +9,7 @@ from rankloom.functions import cleaning
 from rankloom.operators import ml, skills
 from rankloom.operators.matching import chunk_lists, chunk_maxsim
 from rankloom.session import written
+from rankloom.streaming.runs import MERGED, Runs, newest
 
 
 def rescore_on_apply(
@@ -59,3 +60,47 @@ def prepared(versions: DataFrame, phrases: DataFrame, model, encoder=ml.hashed_e
         .join(whole, "doc_id", "left")
         .join(skills.skill_pool(clean, phrases), "doc_id", "left")
     )
+
+
+#: Columns of a prepared resume beside its owner and version (``doc_id``).
+PREPARED = "text string, vectors array<array<float>>, category string, skills array<string>"
+
+
+def resumes(path: str, owner: str = "string", merged: int = MERGED) -> Runs:
+    """The newest prepared version of each owner's resume."""
+    schema = f"owner {owner}, doc_id bigint, {PREPARED}, part int"
+    return Runs(f"{path}/resumes", schema, newest("owner", "doc_id"), "part", merged)
+
+
+def resume_update_stream(
+    versions: DataFrame, phrases: DataFrame, model, path: str, checkpoint: str,
+    encoder=ml.hashed_encoder, parts: int = 16, merged: int = MERGED,
+):
+    """Prepare resumes as their versions (``owner``, ``doc_id`` rising by version,
+    ``text``) arrive, in any order, and repeatedly.
+
+    A batch takes each owner's newest version, leaves out those not newer than what
+    is stored, and prepares and writes the rest as a run. Of what is stored it reads
+    owners and versions only, and only in the parts (of owners, by hash) that it touches.
+    A repeated batch overwrites its run; merged runs keep the newest versions.
+    """
+    table = resumes(path, versions.schema["owner"].dataType.simpleString(), merged)
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        latest = latest_versions(batch.select("owner", "doc_id", "text"), "owner", F.col("doc_id"))
+        latest = latest.withColumn("part", F.pmod(F.xxhash64("owner"), F.lit(parts)).cast("int"))
+        touched = [r.part for r in latest.select("part").distinct().collect()]  # at most ``parts``
+        stored = table.before(spark, batch_id).where(F.col("part").isin(touched)) if touched else table.before(spark, batch_id)
+        known = stored.groupBy("owner").agg(F.max("doc_id").alias("_known"))
+        newer = latest.join(known, "owner", "left").where("_known is null or doc_id > _known")
+        ready = prepared(newer.select("owner", "doc_id", "text", "part"), phrases, model, encoder)
+        table.write(ready.select("owner", "doc_id", "text", "vectors", "category", "skills", "part"), batch_id)
+        table.tidy(spark, batch_id)
+
+    return (
+        versions.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(update)
+        .start()
+    )
