@@ -13,9 +13,9 @@ from __future__ import annotations
 import string
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -269,19 +269,34 @@ def chunk_words(text: Column, max_words: int = CHUNK_WORDS) -> Column:
     return F.when(text.isNotNull(), _bound(words(text), blocks))
 
 
+@cache
+def changeable() -> str:
+    """Java class of the characters without which a text is in normal form: those that
+    are not it themselves, marks that may have to change places, and the second
+    parts of compositions."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    second = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul vowels and finals
+    for c in points:
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            second.add(int(parts[1], 16))
+    found = [c for c in points if c in second or unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFC", chr(c))]
+    runs: list[list[int]] = []
+    for c in found:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 @F.arrow_udf(StringType())
 def _nfc(text: pa.Array) -> pa.Array:
-    """ASCII texts are in normal form already and pass through."""
-    plain = pc.string_is_ascii(text)
-    if pc.all(plain, min_count=0).as_py():
-        return text
-    return pa.array(
-        [t if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()],
-        pa.string(),
-    )
+    return pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
 
 def nfc_newlines(text: Column) -> Column:
-    """Unicode NFC with CRLF and CR turned into LF."""
-    return F.regexp_replace(_nfc(text), F.lit("\r\n?"), F.lit("\n"))
-
+    """Unicode NFC with CRLF and CR turned into LF. Only texts with a character that
+    may change leave for Python; the others go as null and stay as they are."""
+    normal = F.coalesce(_nfc(F.when(F.regexp_like(text, F.lit(changeable())), text)), text)
+    return F.regexp_replace(normal, F.lit("\r\n?"), F.lit("\n"))

@@ -7,12 +7,15 @@ have been aggregated away where only its presence matters.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.hot_groups import carried_forward
+from rankloom.session import written
 
 
 def app_wide(
@@ -101,6 +104,42 @@ def cascade_delete(removed: DataFrame, key: str, *children: DataFrame) -> list[D
     return [child.join(gone, key, "left_anti") for child in children]
 
 
+def cascade(
+    tables: Mapping[str, DataFrame],
+    keys: Mapping[str, str],
+    references: Sequence[tuple[str, str, str]],
+    removed: Mapping[str, DataFrame],
+) -> dict[str, DataFrame]:
+    """All tables without the removed rows and all that refer to them, directly or not.
+
+    ``references`` are ``(child, column, parent)``: the child's column holds the
+    parent's key (``keys``). Tables are taken parents first, one anti join per
+    reference; a table's removed keys are stored before its children need them. A
+    null reference keeps its row. References in a ring raise ``graphlib.CycleError``.
+    """
+    graph: dict[str, set[str]] = {name: set() for name in tables}
+    for child, _, parent in references:
+        graph[child].add(parent)
+    gone: dict[str, DataFrame] = {}
+    left: dict[str, DataFrame] = {}
+    for name in TopologicalSorter(graph).static_order():
+        rows, lost = tables[name], []
+        if name in removed:
+            lost.append((keys[name], removed[name].select(F.col(keys[name]).alias("_gone"))))
+        lost += [(column, gone[parent]) for child, column, parent in references if child == name and parent in gone]
+        kept = rows
+        for column, keys_gone in lost:
+            kept = kept.join(keys_gone.distinct(), F.col(column) == F.col("_gone"), "left_anti")
+        left[name] = kept
+        if lost and any(parent == name for _, _, parent in references):
+            hit = [
+                rows.join(keys_gone.distinct(), F.col(column) == F.col("_gone"), "left_semi").select(F.col(keys[name]).alias("_gone"))
+                for column, keys_gone in lost
+            ]
+            gone[name] = written(reduce(DataFrame.union, hit).distinct(), f"gone-{name}")
+    return left
+
+
 def not_taken(invited: DataFrame, candidates: DataFrame) -> DataFrame:
     """Invited (user, job) pairs that have not submitted the test yet."""
     taken = candidates.where("test_taken").select("user_id", "job_id").distinct()

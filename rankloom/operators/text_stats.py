@@ -1,18 +1,22 @@
 """Term weights, perplexity and repetition per document.
 
-Token counts are reduced per document before any shuffle by term, and a term
-that occurs in a large share of the documents only adds rows to a side that
-the adaptive skew join can split.
+Terms and word pairs are counted inside the row, so no text is ever exchanged, only
+counts. A term that occurs in a large share of the documents only adds rows to a
+side that the adaptive skew join can split. ``doc_id`` names one document: rows that
+share it are not added up.
+
+The counts of a corpus are models of their own, saved as tables: they can be loaded,
+merged with those of further documents, and applied to texts they were not taken from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.session import written
+from rankloom.session import new_table_path, written
 
 # ---- fixed values -------------------------------------------------------
 TERM = r"[\p{L}\p{N}_]{2,}"
@@ -28,30 +32,82 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def counted(items: Column) -> Column:
+    """``(item, n)`` of each different item of a list: sorted, then the lengths of the
+    runs of equal ones."""
+    def runs(s: Column) -> Column:
+        places = F.filter(
+            F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull()
+        )
+        both = F.transform(F.array(places), lambda at: F.transform(
+            at, lambda i, k: F.struct(F.get(s, i).alias("item"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n"))
+        ))
+        return F.element_at(both, 1)
+
+    # One-element transforms bind a list once for its several uses.
+    return F.element_at(F.transform(F.array(F.sort_array(items)), runs), 1)
+
+
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    exploded = docs.select("doc_id", F.explode(terms(F.col(text))).alias("term"))
-    # The joins further on ask for non-null keys. Asked for here already, the
-    # counts are the same sub-plan wherever they are used.
-    exploded = exploded.where("doc_id is not null and term is not null")
-    return exploded.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``(doc_id, term, tf)``; the rows stay where the texts are."""
+    # Outer: else the optimizer tests the size of each list by making it twice.
+    found = docs.select("doc_id", F.inline_outer(counted(terms(F.col(text)))).alias("term", "tf"))
+    return found.where("doc_id is not null and term is not null")
+
+
+class TermModel:
+    """Document frequencies of a corpus, saved below ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def _saved(cls, spark: SparkSession, frequencies: DataFrame, documents: DataFrame, path: str | None) -> TermModel:
+        path = path or new_table_path(spark, "term-model")
+        frequencies.write.parquet(f"{path}/terms")
+        documents.write.parquet(f"{path}/documents")
+        return cls(spark, path)
+
+    @classmethod
+    def of_counts(cls, docs: DataFrame, counts: DataFrame, path: str | None = None) -> TermModel:
+        frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return cls._saved(docs.sparkSession, frequency, docs.agg(F.count(F.lit(1)).alias("n")), path)
+
+    @classmethod
+    def fit(cls, docs: DataFrame, text: str = "text", path: str | None = None) -> TermModel:
+        return cls.of_counts(docs, term_counts(docs, text), path)
 
+    def frequencies(self) -> DataFrame:
+        """``(term, df)``."""
+        return self.spark.read.schema("term string, df bigint").parquet(f"{self.path}/terms")
 
-def tfidf(docs: DataFrame, text: str = "text", corpus: DataFrame | None = None) -> DataFrame:
+    def documents(self) -> DataFrame:
+        """One row: the number ``n`` of documents."""
+        return self.spark.read.schema("n bigint").parquet(f"{self.path}/documents")
+
+    def merged(self, other: TermModel, path: str | None = None) -> TermModel:
+        """The model of both corpora, which share no document."""
+        frequency = self.frequencies().union(other.frequencies()).groupBy("term").agg(F.sum("df").alias("df"))
+        size = self.documents().union(other.documents()).agg(F.sum("n").alias("n"))
+        return self._saved(self.spark, frequency, size, path)
+
+    def weights(self) -> DataFrame:
+        """``(term, idf)``."""
+        n = self.documents().scalar()
+        return self.frequencies().select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def tfidf(docs: DataFrame, text: str = "text", model: TermModel | None = None) -> DataFrame:
     """Unit-length weights ``tf * (ln((1+n)/(1+df)) + 1)`` per document and term.
 
-    ``corpus`` is what the document frequencies are taken from, by default the
-    documents themselves; terms it lacks are left out.
+    ``model`` holds the document frequencies, by default those of the documents
+    themselves; terms it lacks are left out.
     """
     # Counts and frequencies are stored: the texts are read once, and the join has
     # two plain sides, so that a term of all documents can be split.
     counts = written(term_counts(docs, text), "term-counts")
-    fitted = counts if corpus is None else term_counts(corpus, text)
-    n = (docs if corpus is None else corpus).agg(F.count(F.lit(1)).alias("n")).scalar()
-    frequency = fitted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = written(
-        frequency.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")), "term-weights"
-    )
-    raw = counts.join(idf, "term").select(
+    model = model or TermModel.of_counts(docs, counts)
+    raw = counts.join(model.weights(), "term").select(
         "doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw")
     )
     # The window holds one document's distinct terms.
@@ -71,19 +127,73 @@ def stuffing_flag(
     )
 
 
-def _bigrams(text: Column, max_tokens: int | None) -> Column:
-    tokens = terms(text)
+def pair_counts(docs: DataFrame, text: str = "text", max_tokens: int | None = None) -> DataFrame:
+    """``(doc_id, w1, w2, n)``: each document's different word pairs; the rows stay
+    where the texts are."""
+    tokens = terms(F.col(text))
     if max_tokens is not None:
         tokens = F.slice(tokens, 1, max_tokens)
-    # One-element transform: binds the token list once for its several uses.
-    pairs = F.transform(
-        F.array(tokens),
-        lambda t: F.transform(
-            F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))),
-            lambda w, i: F.struct(w.alias("w1"), F.get(t, i + 1).alias("w2")),
-        ),
+    # Terms hold no space.
+    pairs = F.transform(F.array(tokens), lambda t: F.transform(
+        F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(t, i + 1))
+    ))
+    found = docs.select("doc_id", F.inline_outer(counted(F.element_at(pairs, 1))).alias("pair", "n"))
+    found = found.where("doc_id is not null and pair is not null")
+    return found.select(
+        "doc_id", F.substring_index("pair", " ", 1).alias("w1"), F.substring_index("pair", " ", -1).alias("w2"), "n"
     )
-    return F.element_at(pairs, 1)
+
+
+class PairModel:
+    """Counts of a corpus's word pairs, saved below ``path``: add-k smoothed bigrams."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def _saved(cls, spark: SparkSession, pairs: DataFrame, path: str | None) -> PairModel:
+        model = cls(spark, path or new_table_path(spark, "pair-model"))
+        pairs.write.parquet(f"{model.path}/pairs")
+        # By word: how many pairs it begins, 0 for one that only ends pairs.
+        sides = F.array(*[
+            F.struct(F.col(w).alias("w"), F.coalesce(c, F.lit(0).cast("long")).alias("c"))
+            for w, c in (("w1", F.col("c12")), ("w2", F.lit(None).cast("long")))
+        ])
+        words = model.pairs().select(F.inline(sides)).groupBy("w").agg(F.sum("c").alias("c1"))
+        words.write.parquet(f"{model.path}/words")
+        return model
+
+    @classmethod
+    def of_counts(cls, counts: DataFrame, path: str | None = None) -> PairModel:
+        pairs = counts.groupBy("w1", "w2").agg(F.sum("n").alias("c12"))
+        return cls._saved(counts.sparkSession, pairs, path)
+
+    @classmethod
+    def fit(cls, docs: DataFrame, text: str = "text", path: str | None = None) -> PairModel:
+        return cls.of_counts(pair_counts(docs, text), path)
+
+    def pairs(self) -> DataFrame:
+        """``(w1, w2, c12)``."""
+        return self.spark.read.schema("w1 string, w2 string, c12 bigint").parquet(f"{self.path}/pairs")
+
+    def words(self) -> DataFrame:
+        """``(w, c1)``."""
+        return self.spark.read.schema("w string, c1 bigint").parquet(f"{self.path}/words")
+
+    def merged(self, other: PairModel, path: str | None = None) -> PairModel:
+        pairs = self.pairs().union(other.pairs()).groupBy("w1", "w2").agg(F.sum("c12").alias("c12"))
+        return self._saved(self.spark, pairs, path)
+
+    def scored(self, counts: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+        """``counts`` with ``lp``, the log probability of ``w2`` after ``w1``. A pair that
+        was not counted has 0 of its first word's, and after an uncounted word all
+        counted words are equally likely."""
+        vocabulary = self.words().agg(F.count(F.lit(1)).alias("v")).scalar()
+        first = self.words().withColumnRenamed("w", "w1")
+        both = counts.join(self.pairs(), ["w1", "w2"], "left").join(first, "w1", "left")
+        none = F.lit(0).cast("long")
+        share = (F.coalesce("c12", none) + smoothing) / (F.coalesce("c1", none) + vocabulary * smoothing)
+        return both.withColumn("lp", F.log(share))
 
 
 def perplexity(
@@ -91,34 +201,19 @@ def perplexity(
     text: str = "text",
     smoothing: float = SMOOTHING,
     max_tokens: int | None = None,
+    model: PairModel | None = None,
 ) -> DataFrame:
     """``exp`` of the mean negative log-likelihood of a document's word pairs.
 
-    The model is a bigram model with add-k smoothing over all documents. A
-    document without a pair gets NULL. ``max_tokens`` limits the text that is
+    ``model`` holds the pair counts, by default those of the documents themselves.
+    A document without a pair gets NULL. ``max_tokens`` limits the text that is
     looked at; by default all of it counts.
     """
-    pairs = (
-        docs.select("doc_id", F.inline(_bigrams(F.col(text), max_tokens)))
-        .where("doc_id is not null and w1 is not null and w2 is not null")
-        .groupBy("doc_id", "w1", "w2")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    bigrams = pairs.groupBy("w1", "w2").agg(F.sum("n").alias("c12"))
-    firsts = bigrams.groupBy("w1").agg(F.sum("c12").alias("c1"))
-    # Counting through c12 keeps it in this branch: all uses of the bigrams
-    # are then the same exchange, and the texts are read only once.
-    seen = bigrams.select(F.explode(F.array("w1", "w2")).alias("w"), "c12")
-    seen = seen.groupBy("w").agg(F.sum("c12").alias("c"))
-    vocabulary = seen.agg(F.count_if(F.col("c") > 0).alias("v")).scalar()
-    model = bigrams.join(firsts, "w1").select(
-        "w1", "w2",
-        F.log((F.col("c12") + smoothing) / (F.col("c1") + vocabulary * smoothing)).alias("lp"),
-    )
-    scored = (
-        pairs.join(model, ["w1", "w2"])
-        .groupBy("doc_id")
-        .agg(F.sum(F.col("n") * F.col("lp")).alias("ll"), F.sum("n").alias("pairs"))
+    # Stored: read for the model and for the scores, and a plain side of the joins.
+    counts = written(pair_counts(docs, text, max_tokens), "pair-counts", compression="zstd")
+    model = model or PairModel.of_counts(counts)
+    scored = model.scored(counts, smoothing).groupBy("doc_id").agg(
+        F.sum(F.col("n") * F.col("lp")).alias("ll"), F.sum("n").alias("pairs")
     )
     return docs.select("doc_id").join(scored, "doc_id", "left").select(
         "doc_id", F.exp(-F.col("ll") / F.col("pairs")).alias("perplexity")

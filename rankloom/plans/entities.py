@@ -141,7 +141,8 @@ class Entities:
 
     def vector_applications(self, orders: DataFrame | None = None) -> DataFrame:
         docs = F.ceil(_size(self.table("embeddings")) / CHUNKS_PER_DOC)
-        orders = self.table("orders") if orders is None else orders
+        # An application is a few numbers, comparing its texts is the work.
+        orders = dealt(self.table("orders")) if orders is None else orders
         return orders.select(
             F.col("o_orderkey").alias("app_id"),
             F.col("o_custkey").alias("job_id"),

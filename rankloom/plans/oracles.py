@@ -210,7 +210,7 @@ ORACLES["chunk_words"] = _chunk_rows("documents")
 
 ORACLES["doc_scan"] = (
     "SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) "
-    "|| chr(10) || 'end' AS text FROM documents"
+    "|| chr(65533) || 'A' || chr(10) || 'end' AS text FROM documents"
 )
 ORACLES["doc_files_scan"] = "SELECT text || chr(10) || 'end' || chr(10) AS text FROM benchmark"
 ORACLES["doc_ext_filter"] = """SELECT doc_id, path FROM (SELECT doc_id, source || '/cv.' || doc_id ||
@@ -234,11 +234,26 @@ def _has_terms(x: str) -> str:
     return f"regexp_matches({x}, '[\\p{{L}}\\p{{N}}_]{{2}}')"
 
 
-ORACLES["vector_backfill"] = f"""SELECT conv_id, turn,
-  CASE WHEN role = 'assistant' THEN 'subjective' ELSE 'mcq' END AS question_type,
-  CASE WHEN role = 'assistant' THEN 384 END AS dimensions,
-  CASE WHEN role = 'assistant' THEN CASE WHEN turn % 5 <> 3 AND {_has_terms('text')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS length
-FROM conversations"""
+_ALPHABET = "string_split('abcdefghijklmnopqrstuvwxyz', '')"
+
+
+def _letter_vectors(rows: str) -> str:
+    """``counts`` of the letters of ``t`` and the unit vector's parts, in single precision."""
+    return f"""counted AS (SELECT *, list_transform({_ALPHABET}, lambda c: length(t) - length(replace(t, c, ''))) AS counts FROM {rows}),
+sized AS (SELECT *, CAST(sqrt(CAST(list_sum(list_transform(counts, lambda n: n * n)) AS DOUBLE)) AS FLOAT) AS size FROM counted),
+lettered AS (SELECT * EXCLUDE (counts, size), unnest(range(26)) AS i, unnest(list_transform(counts,
+  lambda n: CAST(CAST(n AS FLOAT) / CASE WHEN size = 0 THEN 1::FLOAT ELSE size END AS DOUBLE))) AS x FROM sized)"""
+
+
+ORACLES["vector_backfill"] = f"""WITH answers AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'subjective' ELSE 'mcq' END AS question_type,
+  CASE WHEN turn % 5 <> 3 THEN text ELSE '' END AS t FROM conversations),
+subjective AS (SELECT * FROM answers WHERE question_type = 'subjective'),
+{_letter_vectors('subjective')}
+SELECT conv_id, turn, question_type, CAST(i AS INT) AS i, x FROM lettered
+UNION ALL SELECT conv_id, turn, question_type, NULL, NULL FROM answers WHERE question_type = 'mcq'"""
+ORACLES["embed_batches"] = f"""WITH texts AS (SELECT doc_id, text AS t FROM documents),
+{_letter_vectors('texts')}
+SELECT doc_id, CAST(i AS INT) AS i, x FROM lettered"""
 ORACLES["embed"] = f"""SELECT doc_id, 384 AS dimensions,
   CASE WHEN {_has_terms('text')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents"""
 ORACLES["score_writeback"] = _with(APPS) + """SELECT app_id, job_id, coalesce(new, score) AS score FROM apps
@@ -512,6 +527,17 @@ ORACLES["cascade_delete"] = """SELECT user_id AS candidate_id, event_id AS row_i
 WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
 UNION ALL SELECT o_custkey, o_orderkey, 'answer' FROM orders
 WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""
+ORACLES["cascade_users"] = _with(USERS, JOBS, SEEKERS, APPS, CANDS, LOGS, """gone_users AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1),
+gone_jobs AS (SELECT job_id AS k FROM jobs WHERE provider_id IN (FROM gone_users)),
+gone_seekers AS (SELECT seeker_id AS k FROM seekers WHERE user_id IN (FROM gone_users)),
+gone_cands AS (SELECT candidate_id AS k FROM cands WHERE job_id IN (FROM gone_jobs) OR user_id IN (FROM gone_seekers))""") + """
+SELECT 'users' AS name, CAST(user_id AS BIGINT) AS row_id FROM users WHERE user_id NOT IN (FROM gone_users)
+UNION ALL SELECT 'jobs', job_id FROM jobs WHERE provider_id NOT IN (FROM gone_users)
+UNION ALL SELECT 'seekers', seeker_id FROM seekers WHERE user_id NOT IN (FROM gone_users)
+UNION ALL SELECT 'applications', app_id FROM apps WHERE job_id NOT IN (FROM gone_jobs) AND seeker_id NOT IN (FROM gone_seekers)
+UNION ALL SELECT 'candidates', candidate_id FROM cands WHERE candidate_id NOT IN (FROM gone_cands)
+UNION ALL SELECT 'logs', event_id FROM logs WHERE candidate_id NOT IN (FROM gone_cands)
+UNION ALL SELECT 'bridge', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_orderkey NOT IN (FROM gone_cands)"""
 ORACLES["not_taken"] = _with(CANDS) + (
     "SELECT user_id, job_id FROM cands GROUP BY ALL HAVING NOT bool_or(test_taken)"
 )
@@ -558,6 +584,16 @@ STUFFED = """stuffed AS (SELECT doc_id, coalesce(n, 0) AS heavy_terms, coalesce(
 ORACLES["tfidf"] = _with(CLEAN, TFIDF) + "SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf"
 ORACLES["stuffing_flag"] = _with(CLEAN, TFIDF, STUFFED) + "SELECT doc_id, heavy_terms, is_suspicious FROM stuffed"
 
+TURNS = f"turns AS MATERIALIZED (SELECT conv_id || '/' || turn AS doc_id, {t6('text')} AS text FROM conversations)"
+ORACLES["term_model"] = _with(CLEAN, TFIDF) + (
+    "SELECT term, count(*) AS df, (SELECT count(*) FROM clean) AS n FROM tf GROUP BY 1"
+)
+ORACLES["stuffing_unseen"] = _with(CLEAN, TFIDF, TURNS) + f"""SELECT doc_id, coalesce(heavy, 0) AS heavy_terms, coalesce(heavy, 0) > 1 AS is_suspicious
+FROM turns LEFT JOIN (SELECT doc_id, count(*) FILTER (r / l > 0.1) AS heavy FROM
+  (SELECT doc_id, r, sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS l FROM
+    (SELECT doc_id, n * idf AS r FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM turns) GROUP BY 1, 2)
+      JOIN idf USING (term))) GROUP BY 1) USING (doc_id)"""
+
 # ---- rankings ----------------------------------------------------------------------------------------
 
 ORACLES["top_jobs_by_count"] = _with(COUNTS) + "SELECT * FROM counts ORDER BY application_count DESC, job_id LIMIT 3"
@@ -574,6 +610,10 @@ ppl AS (SELECT doc_id, exp(-avg(ln((c12 + 0.1::DOUBLE) / (c1 + (SELECT v FROM vo
 ORACLES["perplexity"] = _with(CLEAN, PERPLEXITY) + (
     "SELECT doc_id, round(p, 4) AS perplexity FROM clean LEFT JOIN ppl USING (doc_id)"
 )
+ORACLES["perplexity_unseen"] = _with(CLEAN, PERPLEXITY, TURNS) + f"""SELECT doc_id, round(p, 4) AS perplexity, coalesce(p < 1000, false) AS is_suspicious_ai
+FROM turns LEFT JOIN (SELECT doc_id, exp(-avg(ln((coalesce(c12, 0) + 0.1::DOUBLE) / (coalesce(c1, 0) + (SELECT v FROM vocab) * 0.1::DOUBLE)))) AS p FROM
+  (SELECT doc_id, t[i] AS w1, t[i + 1] AS w2 FROM (SELECT doc_id, {_TERMS} AS t FROM turns), LATERAL (SELECT unnest(range(1, len(t))) AS i))
+  LEFT JOIN c12 USING (w1, w2) LEFT JOIN c1 USING (w1) GROUP BY 1) USING (doc_id)"""
 GENERATED = "gen AS (SELECT doc_id, coalesce(p < 1000, false) AS is_suspicious_ai FROM clean LEFT JOIN ppl USING (doc_id))"
 ORACLES["generated_text_flag"] = _with(CLEAN, PERPLEXITY, GENERATED) + "SELECT doc_id, is_suspicious_ai FROM gen"
 ORACLES["job_ranking"] = _with(APPS, APP_RANKED, CLEAN, TFIDF, STUFFED, PERPLEXITY, GENERATED, *SKILL_CTES) + """SELECT job_id, rank, app_id, score,
@@ -651,7 +691,8 @@ FROM apps JOIN jobs USING (job_id) LEFT JOIN (SELECT l_orderkey, max(l_quantity)
 
 # ---- models and text statistics ----------------------------------------------------------------------------
 
-ORACLES["category_classify"] = "SELECT vec_id, label % 7 AS label, true AS named, true AS reload_agrees FROM embeddings"
+ORACLES["category_classify"] = f"""SELECT vec_id, label % 7 AS label, CAST(label % 7 AS INT) AS predicted,
+  ({_NAMES})[CAST(label % 7 AS INT) + 1] AS category, true AS reload_agrees FROM embeddings"""
 ORACLES["label_decode"] = f"SELECT vec_id, ({_NAMES})[CAST(label % 7 AS INT) + 1] AS category FROM embeddings"
 ORACLES["repetition_ratio"] = f"""SELECT doc_id, CASE WHEN len(g) > 0 THEN round((len(g) - len(list_distinct(g))) / len(g), 6) END AS ratio
 FROM (SELECT doc_id, list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS g

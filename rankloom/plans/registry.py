@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,8 +66,9 @@ query(shortlist_by_match)
 
 @query
 def doc_scan(e):
+    # A genuine U+FFFD, a lone byte, a sequence that breaks off, and one that is no character.
     raw = F.concat(
-        F.encode("text", "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.lit("\r\nend"), "UTF-8")
+        F.encode("text", "UTF-8"), F.unhex(F.lit("EFBFBD" "FF" "E282" "41" "EDA080")), F.encode(F.lit("\r\nend"), "UTF-8")
     )
     return e.documents().select("doc_id", readers.decoded(raw).alias("text"))
 
@@ -192,11 +194,9 @@ def vector_backfill(e):
         F.when(F.col("role") == "assistant", "subjective").otherwise("mcq").alias("question_type"),
         F.when(F.col("turn") % 5 != 3, F.col("text")).alias("reference_answer"),
     )
-    stored = sinks.vector_backfill(answers)
-    v = F.col("reference_vector")
-    return stored.select(
-        "conv_id", "turn", "question_type", F.size(v).alias("dimensions"), _r(vectors.norm(v), 4).alias("length")
-    )
+    stored = sinks.vector_backfill(answers, LETTERS)
+    rows = stored.select("conv_id", "turn", "question_type", F.posexplode_outer("reference_vector").alias("i", "x"))
+    return rows.withColumn("x", F.col("x").cast("double"))
 
 
 @query
@@ -433,6 +433,22 @@ def embed(e):
     return coded.select("doc_id", F.size(v).alias("dimensions"), _r(vectors.norm(v), 4).alias("length"))
 
 
+def _letters():
+    """A small deterministic model: how often a text holds each letter from a to z."""
+    import string
+
+    return lambda texts: [[t.count(c) for c in string.ascii_lowercase] for t in texts]
+
+
+LETTERS = ml.batch_encoder("letters", _letters)
+
+
+@query
+def embed_batches(e):
+    coded = ml.embed(e.documents(), "text", "vector", LETTERS)
+    return coded.select("doc_id", F.posexplode("vector").alias("i", "x")).select("doc_id", "i", F.col("x").cast("double").alias("x"))
+
+
 def _vector_pairs(e: Entities) -> DataFrame:
     """Two vectors per order: those its own and its customer's number pick."""
     n = e.table("embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -561,6 +577,36 @@ def cascade_delete(e):
     return left_logs.withColumn("child", F.lit("log")).union(left_bridge.withColumn("child", F.lit("answer")))
 
 
+@query
+def cascade_users(e):
+    """What is left of all tables when the users of one region leave: their jobs and
+    resumes go, the applications and tests for those, and what belongs to the tests."""
+    region = e.table("nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("user_id"))
+    bridge = e.table("lineitem").select(
+        F.col("l_orderkey").alias("candidate_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")
+    )
+    left = relations.cascade(
+        {
+            "users": e.users(), "jobs": e.jobs(), "seekers": e.seekers(), "applications": e.applications(),
+            "candidates": e.candidates(), "logs": e.logs(), "bridge": bridge,
+        },
+        {
+            "users": "user_id", "jobs": "job_id", "seekers": "seeker_id", "applications": "app_id",
+            "candidates": "candidate_id", "logs": "event_id", "bridge": "row_id",
+        },
+        [
+            ("jobs", "provider_id", "users"), ("seekers", "user_id", "users"),
+            ("applications", "job_id", "jobs"), ("applications", "seeker_id", "seekers"),
+            ("candidates", "job_id", "jobs"), ("candidates", "user_id", "seekers"),
+            ("logs", "candidate_id", "candidates"), ("bridge", "candidate_id", "candidates"),
+        ],
+        {"users": region},
+    )
+    keys = {"users": "user_id", "jobs": "job_id", "seekers": "seeker_id", "applications": "app_id", "candidates": "candidate_id", "logs": "event_id", "bridge": "row_id"}
+    rows = [df.select(F.lit(name).alias("name"), F.col(keys[name]).cast("long").alias("row_id")) for name, df in left.items()]
+    return reduce(DataFrame.union, rows)
+
+
 @query
 def not_taken(e):
     invited = e.candidates().select("user_id", "job_id").distinct()
@@ -607,8 +653,7 @@ def jobs_with_due(e):
 
 
 def _clean_documents(e: Entities) -> DataFrame:
-    """Exchanged by document, so that counts per document need no further exchange."""
-    return e.documents().withColumn("text", cleaning.clean_text(F.col("text"))).repartition("doc_id")
+    return e.documents().withColumn("text", cleaning.clean_text(F.col("text")))
 
 
 @query
@@ -625,6 +670,45 @@ def stuffing_flag(e):
     return _stuffing(_clean_documents(e))
 
 
+def _halves(e: Entities) -> tuple[DataFrame, DataFrame]:
+    """The cleaned documents in two parts: models of both are merged."""
+    stored = written(_clean_documents(e).select("doc_id", "text"), "clean-texts")
+    first = F.xxhash64("doc_id") % 2 == 0
+    return stored.where(first), stored.where(~first)
+
+
+def _turns(e: Entities) -> DataFrame:
+    """Texts that no model of the documents has counted."""
+    name = F.concat_ws("/", "conv_id", "turn").alias("doc_id")
+    return dealt(e.table("conversations")).select(name, cleaning.clean_text(F.col("text")).alias("text"))
+
+
+@query
+def term_model(e):
+    """Document frequencies: those of one half of the documents, saved, loaded and
+    merged with those of the other."""
+    one, two = (text_stats.TermModel.fit(half) for half in _halves(e))
+    both = text_stats.TermModel(e.spark, one.path).merged(two)
+    return both.frequencies().withColumn("n", both.documents().scalar())
+
+
+@query
+def stuffing_unseen(e):
+    """Flags of conversation turns by the term weights of the documents."""
+    one, two = (text_stats.TermModel.fit(half) for half in _halves(e))
+    turns = written(_turns(e), "turns")
+    return text_stats.stuffing_flag(turns, text_stats.tfidf(turns, model=one.merged(two)))
+
+
+@query
+def perplexity_unseen(e):
+    """Perplexity of conversation turns by the word pairs of the documents."""
+    one, two = (text_stats.PairModel.fit(half) for half in _halves(e))
+    scored = text_stats.perplexity(written(_turns(e), "turns"), model=one.merged(two))
+    flagged = text_stats.generated_text_flag(scored, limit=1000.0)
+    return flagged.select("doc_id", _r("perplexity", 4).alias("perplexity"), "is_suspicious_ai")
+
+
 # ---- rankings ---------------------------------------------------------------
 
 
@@ -643,7 +727,7 @@ def job_ranking(e):
     docs = e.table("documents").agg(F.count(F.lit(1)).alias("n")).scalar()
     apps = e.applications().withColumn("doc_id", F.col("app_id") % docs)
     # The cleaned texts serve two flags: cleaned and stored once.
-    stored = written(_clean_documents(e).select("doc_id", "text"), "clean-texts").repartition("doc_id")
+    stored = written(_clean_documents(e).select("doc_id", "text"), "clean-texts")
     flags = written(ranking.document_flags(_stuffing(stored), _generated(stored), _pool(e)), "document-flags")
     ranked = ranking.job_ranking(apps, flags)
     return ranked.select("job_id", "rank", "app_id", "score", "is_suspicious", "is_suspicious_ai", _list("skills").alias("skills"))
@@ -791,16 +875,19 @@ def composite_rank(e):
 
 @query
 def category_classify(e):
+    """Vectors whose first seven numbers tell the label apart, so that every
+    prediction has one right answer."""
+    label = F.col("label") % 7
+    sign = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.when(i == label, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float"))
     vecs = e.table("embeddings").select(
-        "vec_id", F.col("embedding").alias("vector"), (F.col("label") % 7).alias("label")
+        "vec_id", F.concat(sign, F.slice("embedding", 1, 3)).alias("vector"), label.alias("label")
     )
     fitted = ml.fit_category_model(vecs)
     model = ml.loaded_model(ml.saved_model(e.spark, fitted))
     first = ml.category_classify(vecs, fitted).withColumnRenamed("prediction", "_first").drop("category")
     out = ml.category_classify(first, model)
     return out.select(
-        "vec_id", "label",
-        (F.col("category") == F.get(F.array(*map(F.lit, cat.CATEGORIES)), F.col("prediction").cast("int"))).alias("named"),
+        "vec_id", "label", F.col("prediction").cast("int").alias("predicted"), "category",
         (F.col("prediction") == F.col("_first")).alias("reload_agrees"),
     )
 

@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from rankloom import schemas
 from rankloom.operators.skills import gazetteer
 
-DOC_TYPES = ("pdf", "txt")  # fixed value
+# ---- fixed values -------------------------------------------------------
+DOC_TYPES = ("pdf", "txt")
+# The byte sequences of UTF-8.
+WELL_FORMED = (
+    r"[\x00-\x7F]++|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]"
+    r"|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+    r"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+)
+# ---- end of fixed values ------------------------------------------------
 
 
 def decoded(raw: Column) -> Column:
-    """Bytes to text: UTF-8, undecodable bytes dropped, line ends as LF."""
+    """Bytes to text: UTF-8, undecodable bytes dropped, line ends as LF. A genuine
+    U+FFFD stays."""
     text = raw.cast("string")
-    # make_valid_utf8 puts U+FFFD in place of each bad sequence.
-    text = F.when(F.is_valid_utf8(text), text).otherwise(
-        F.translate(F.make_valid_utf8(text), "\ufffd", "")
-    )
+    # As Latin-1 every byte is a character: what is part of no sequence leaves.
+    latin = F.decode(raw.cast("binary"), "ISO-8859-1")
+    kept = F.regexp_replace(latin, F.lit(rf"(?s)({WELL_FORMED})|."), F.lit("$1"))
+    text = F.when(F.is_valid_utf8(text), text).otherwise(F.encode(kept, "ISO-8859-1").cast("string"))
     return F.regexp_replace(text, F.lit("\r\n?"), F.lit("\n"))
 
 

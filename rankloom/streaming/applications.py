@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import cleaning
 from rankloom.operators import ml, skills
 from rankloom.operators.matching import chunk_lists, chunk_maxsim
-from rankloom.session import written
+from rankloom.session import dealt, written
 from rankloom.streaming.runs import MERGED, Runs, newest
 
 
@@ -25,7 +25,7 @@ def rescore_on_apply(
     second look. A repeated batch overwrites its own folder.
     """
     def score(batch: DataFrame, batch_id: int) -> None:
-        scored = chunk_maxsim(batch, job_vectors, resume_vectors)
+        scored = chunk_maxsim(dealt(batch), job_vectors, resume_vectors)
         scored.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (

@@ -135,7 +135,7 @@ def test_tfidf(docs):
 
 def test_tfidf_of_another_corpus(spark, docs):
     corpus = spark.createDataFrame([(1, "cat cat dog"), (2, "cat")], "doc_id int, text string")
-    got = text_stats.tfidf(docs, corpus=corpus)
+    got = text_stats.tfidf(docs, model=text_stats.TermModel.fit(corpus))
     assert {r.term for r in got.select("term").collect()} == {"cat", "dog"}
 
 
