@@ -1,12 +1,11 @@
 """SimHash near-duplicates through an inverted index of fingerprint bytes.
 
 The fingerprints of two texts that differ in at most ``bits`` of their 64 bits
-agree in at least ``8 - bits`` of their eight bytes (the guaranteed matches).
-A posting list for one byte position and value would hold every 256th text, so
-positions are listed together: cut into ``bits + 2`` blocks of neighbouring
-positions, at least two blocks agree whole. A pair that meets in a list is
-tallied over all eight positions, kept from the guaranteed number of
-matches on, and verified by its bits.
+agree in at least ``8 - bits`` of their eight bytes (the guaranteed matches). A
+list of one byte position and value would hold every 256th text, so four positions
+are listed at a time, each choice of four. A pair's tally over all lists tells how
+many of its bytes agree: ``m`` shared bytes are ``m`` over 4 shared lists. Pairs
+with the tally of the guaranteed matches are kept and verified by their bits.
 
 Exact copies share a fingerprint and enter as one. A list with more than
 ``longest`` fingerprints emits no pairs: its members name what they are after
@@ -17,12 +16,13 @@ A name takes the place of a partner, the work stays linear, no link is lost.
 from __future__ import annotations
 
 import itertools
+import math
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import mapped, texts_of
@@ -30,6 +30,7 @@ from rankloom.session import written
 
 SEED = 42
 BYTES = 8
+TOGETHER = 4
 CHUNK = 1 << 16
 FLIPS = [0, *[1 << k for k in range(64)]]
 
@@ -70,37 +71,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
     return mapped(narrow, "doc_id long, text_hash long, fingerprint long", batch)
 
 
-def _byte(value: Column, position: int) -> Column:
-    return F.shiftrightunsigned(value, 8 * position).bitwiseAND(F.lit(0xFF).cast("long"))
-
-
-def matching_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight byte positions hold the same value."""
-    total = F.lit(0)
-    for position in range(BYTES):
-        total = total + (_byte(a, position) == _byte(b, position)).cast("int")
-    return total
-
-
-def _blocks(bits: int) -> list[int]:
-    """Masks of ``bits + 2`` blocks of neighbouring byte positions."""
-    edges = [round(i * BYTES / (bits + 2)) for i in range(bits + 3)]
-    return [sum(0xFF << 8 * p for p in range(a, b)) for a, b in itertools.pairwise(edges)]
-
-
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def postings(prints: DataFrame, bits: int) -> DataFrame:
-    """``(list_no, value, fingerprint)``: one row per pair of blocks."""
-    rows = F.array(*[
-        F.struct(
-            F.lit(n).alias("list_no"),
-            F.col("fingerprint").bitwiseAND(F.lit(_signed(a | b)).cast("long")).alias("value"),
-        )
-        for n, (a, b) in enumerate(itertools.combinations(_blocks(bits), 2))
-    ])
+def postings(prints: DataFrame) -> DataFrame:
+    """``(list_no, value, fingerprint)``: one row for each choice of byte positions."""
+    masks = [sum(0xFF << 8 * p for p in some) for some in itertools.combinations(range(BYTES), TOGETHER)]
+    all_masks = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
+    rows = F.transform(all_masks, lambda m, i: F.struct(i.alias("list_no"), F.col("fingerprint").bitwiseAND(m).alias("value")))
     return prints.select(F.inline(rows).alias("list_no", "value"), "fingerprint")
 
 
@@ -111,7 +90,7 @@ def links(prints: DataFrame, bits: int = 2, longest: int = 64) -> DataFrame:
     if not 0 <= bits <= 2:
         raise ValueError("bits must be 0, 1 or 2")
     key = ["list_no", "value"]
-    lists = postings(prints, bits)
+    lists = postings(prints)
     # Stored, so that the join has two plain exchanges and a long list can be split.
     sizes = written(lists.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-lists")
     shared = written(lists.join(sizes, key), "simhash-postings")
@@ -119,10 +98,11 @@ def links(prints: DataFrame, bits: int = 2, longest: int = 64) -> DataFrame:
         F.sort_array(F.collect_list("fingerprint")).alias("m")
     )
     later = F.transform("m", lambda a, i: F.struct(a.alias("a"), F.slice("m", i + 2, F.size("m")).alias("bs")))
+    tallied = members.select(F.inline(later)).select("a", F.explode("bs").alias("b")).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared")
+    )
     pairs = (
-        members.select(F.inline(later))
-        .select("a", F.explode("bs").alias("b"))
-        .where(matching_bytes(F.col("a"), F.col("b")) >= BYTES - bits)
+        tallied.where(F.col("shared") >= math.comb(BYTES - bits, TOGETHER))
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
         .select("a", "b")
     )
@@ -138,7 +118,7 @@ def links(prints: DataFrame, bits: int = 2, longest: int = 64) -> DataFrame:
     # A name borne by 65 fingerprints at most; one that a single member bears ties nothing.
     tied = stars.groupBy(*name).agg(F.sort_array(F.collect_list("b")).alias("bs")).where(F.size("bs") > 1)
     chains = tied.select(F.col("bs")[0].alias("a"), F.explode(F.slice("bs", 2, 65)).alias("b"))
-    return pairs.union(chains).distinct() if bits else pairs
+    return pairs.union(chains).distinct()
 
 
 def components(prints: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
