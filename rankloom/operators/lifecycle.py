@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import final_selection, shortlist_top_fraction
 
+# ---- fixed values: wording of the messages ------------------------------
+INVITE_REASON = "You have been selected to take a test for the job"
+INVITE_SUBJECT = "Test Invitation for %s"
+INVITE_MESSAGE = "Dear %s,\n\n%s: %s.\n\nLink: %s"
+FINAL_SUBJECT = "Final Selection – %s"
+FINAL_MESSAGE = "Dear %s,\n\nYou have been selected in the final list for the position: %s.\n\nCongratulations.\n"
+# ---- end of fixed values ------------------------------------------------
+
 FINAL_DEADLINE_DAYS = 7  # fixed value
 
 
@@ -57,7 +65,7 @@ def final_deadline(deadline: Column) -> Column:
 
 def invite_rows(
     selected: DataFrame, jobs: DataFrame, users: DataFrame, link_base: str,
-    reason: str = "You have been selected to take a test for the job",
+    reason: str = INVITE_REASON,
 ) -> DataFrame:
     """One message per selected application (``job_id``, ``user_id``). To write
     to every applicant, pass all applications and a reason to match."""
@@ -70,9 +78,9 @@ def invite_rows(
             "job_id",
             "user_id",
             F.col("email").alias("recipient"),
-            F.concat(F.lit("Test Invitation for "), "job_title").alias("subject"),
+            F.format_string(INVITE_SUBJECT, F.col("job_title")).alias("subject"),
             F.format_string(
-                "Dear %s,\n\n%s: %s.\n\nLink: %s",
+                INVITE_MESSAGE,
                 F.col("username"), F.lit(reason), F.col("job_title"), link,
             ).alias("message"),
         )
@@ -88,12 +96,8 @@ def final_rows(selected: DataFrame, jobs: DataFrame, users: DataFrame) -> DataFr
             "candidate_id",
             "job_id",
             F.col("email").alias("recipient"),
-            F.concat(F.lit("Final Selection – "), "job_title").alias("subject"),
-            F.format_string(
-                "Dear %s,\n\nYou have been selected in the final list for the position: "
-                "%s.\n\nCongratulations.\n",
-                F.col("username"), F.col("job_title"),
-            ).alias("message"),
+            F.format_string(FINAL_SUBJECT, F.col("job_title")).alias("subject"),
+            F.format_string(FINAL_MESSAGE, F.col("username"), F.col("job_title")).alias("message"),
         )
     )
 

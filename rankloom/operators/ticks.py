@@ -26,10 +26,11 @@ def handled_once(
     none = spark.createDataFrame([], due.select(key).schema)
     none.write.mode("overwrite").parquet(f"{path}/handled/tick={NO_TICK}")
     earlier = _ticks(spark, f"{path}/handled", f"{key} {due.schema[key].dataType.simpleString()}").where(F.col("tick") < tick)
-    fresh = due.select(key).distinct().join(earlier, key, "left_anti").persist()
+    # Written once and read back by both; the next tick takes its place.
+    due.select(key).distinct().join(earlier, key, "left_anti").write.mode("overwrite").parquet(f"{path}/fresh")
+    fresh = spark.read.schema(none.schema).parquet(f"{path}/fresh")
     outcome(fresh).write.mode("overwrite").parquet(f"{path}/outcome/tick={tick}")
     fresh.write.mode("overwrite").parquet(f"{path}/handled/tick={tick}")
-    fresh.unpersist()
 
 
 def outcomes(spark: SparkSession, key: str, path: str) -> DataFrame:

@@ -26,10 +26,13 @@ def build_session(app: str = "rankloom", master: str | None = None, **conf) -> S
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``, or where that is
-    unset a folder beside the tables of the session's warehouse."""
+    unset a folder beside the tables of the session's warehouse. On a cluster a
+    warehouse on the driver's own disk is no such folder, and an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+        if not spark.conf.get("spark.master", "local").startswith("local") and folder.startswith(("file:", "/")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
