@@ -6,10 +6,11 @@ vocabulary; the tests hold them against plain versions.
 
 from __future__ import annotations
 
-from rankloom.llm.queries import BLOCKED_NAMES, HOST_RULES
-
-_HOST_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in HOST_RULES)
-_NAMES = ", ".join(f"'{n}'" for n in BLOCKED_NAMES)
+# Written out once more, not taken from the queries.
+_HOST_RULES = """('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')"""
+_NAMES = """'casino-win', 'free-casino', 'online-casino', 'cheap-pills', 'online-pills', 'free-bets', 'best-bets',
+  'spam-farm', 'link-farm', 'adult-chat', 'payday-loans', 'replica-watches'"""
 
 ORACLES: dict[str, str] = {
     "op10_url_filter": f"""
