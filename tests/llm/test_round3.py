@@ -7,11 +7,21 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import one_permutation, spelling, whitening
+from rankloom.llm import (
+    knn_quality,
+    language_id,
+    one_permutation,
+    order_minhash,
+    packing,
+    simhash,
+    spelling,
+    whitening,
+)
 from rankloom.llm.queries import QUERIES
 
 # ---- whitening ------------------------------------------------------------------
@@ -200,10 +210,9 @@ def test_a_large_family_is_not_paired(spark):
     got = one_permutation.near_duplicates(df).collect()
     assert {r.component_id for r in got} == {0}
     buckets = spark.createDataFrame(
-        [(k, i, 9, 150, i) for k in range(3) for i in range(50)], "key long, label long, n long, fellows long, root long"
+        [(k, i, 9, 150, i if k else 7) for k in range(3) for i in range(50)], "key long, label long, n long, degree long, root long"
     )
-    done, pairs = one_permutation.stars(buckets)
-    assert done.count() == 3 and pairs.count() == 3 * 49
+    assert sorted((r.key, r.centre) for r in one_permutation.stars(buckets).collect()) == [(1, 49), (2, 49)]
 
 
 # ---- spelling ------------------------------------------------------------------------
@@ -303,3 +312,110 @@ def test_queries_give_their_columns(spark, small, name):
     }
     df = QUERIES[name](spark, small)
     assert df.columns == columns[name] and df.count() > 0
+
+
+# ---- earlier operators ---------------------------------------------------------------
+
+
+def test_short_texts_in_another_order(spark):
+    rng = random.Random(20)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for _ in range(12):
+        w = [rng.choice(words) for _ in range(24)]
+        rows.append((" ".join(w), " ".join(w[18:] + w[12:18] + w[6:12] + w[:6])))
+    df = spark.createDataFrame(rows, "a string, b string")
+    s = order_minhash.sketch
+    likes = [r[0] for r in df.select(order_minhash.likeness(s(F.col("a")), s(F.col("b")))).collect()]
+    assert np.mean(likes) < 0.1 and all(
+        r[0] == 1.0 for r in df.select(order_minhash.likeness(s(F.col("a")), s(F.col("a")))).collect()
+    )
+
+
+def test_one_character_in_a_long_run(spark):
+    rng = random.Random(21)
+    run = "".join(rng.choice("abcdefghijklmnop") for _ in range(600))
+    df = spark.createDataFrame([(run, "x" + run), (run, run[:300] + "y" + run[300:])], "a string, b string")
+    s = order_minhash.sketch
+    likes = [r[0] for r in df.select(order_minhash.likeness(s(F.col("a")), s(F.col("b")))).collect()]
+    assert min(likes) > 0.8
+
+
+def test_equal_rows_are_one_document(spark):
+    rows = [(1, "a b c d"), (2, "e f g"), (2, "e f g"), (3, "h i"), (3, "h i"), (3, "h i"), (None, "j"), (None, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(str(r.doc_id) for r in order_minhash.edited_pairs(df).collect()) == ["1", "2", "3", "None"]
+
+
+def test_languages_of_long_runs(spark):
+    rng = random.Random(22)
+    run = lambda letters: "".join(rng.choice(letters) for _ in range(90))
+    rows = [(i, "the cat sat on the mat", "en") for i in range(8)] + [(50 + i, " ".join(run("xyzw") for _ in range(4)), "zz") for i in range(8)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, run("xyzw")), (2, "the mat")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predicted(asked, model).collect()} == {1: "zz", 2: "en"}
+    word = "".join(rng.choice("abc") for _ in range(1000))
+    pieces = language_id.pieces(word)
+    held = {p[i : i + 4] for p in pieces for i in range(len(p) - 3)}
+    assert held == {word[i : i + 4] for i in range(997)} and max(map(len, pieces)) == 64
+
+
+def test_an_id_in_many_rows_is_one_neighbour(spark):
+    rows = [(i, f"good text number {i} with words") for i in range(6)] + [(i, f"{i} !!! ### {i}") for i in range(6, 12)]
+    docs = spark.createDataFrame(rows + [rows[0]] * 200 + [(0, "another text of the id")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(12)], "doc_id long, quality int")
+    model = knn_quality.fit(docs, labels, neighbours=3)
+    assert len(model.vectors) == 12
+    scores = {(r.doc_id, round(r.score, 12)) for r in knn_quality.score(docs, model).collect()}
+    assert len([k for k, _ in scores if k == 0]) <= 2  # repeated rows agree
+    assert knn_quality.score(docs.where("false"), model).count() == 0
+    none = knn_quality.fit(docs, labels.where("false"))
+    assert {r.score for r in knn_quality.score(docs, none).collect()} == {0.5}
+
+
+def test_shapes_differ_beyond_any_prefix():
+    a, b = (knn_quality.terms(b"a-" * 40 + end) for end in (b"1", b"!"))
+    assert a != b
+
+
+def test_ties_with_the_last_neighbour_vote(spark):
+    """The same whatever the order of the labelled rows."""
+    rows = [([i % 3], [1.0]) for i in range(12)]
+    y = np.array([i % 2 for i in range(12)], dtype=float)
+    scores = []
+    for order in (range(12), reversed(range(12))):
+        at = list(order)
+        model = knn_quality.fit_rows([rows[i] for i in at], y[at], (6, 6), 8, 4, 3)
+        scores.append(model.scores([b"x", b"y z"]).tolist())
+    assert scores[0] == pytest.approx(scores[1])
+
+
+def test_word_cache_of_two_generations(monkeypatch):
+    """Small caches change nothing."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    rng = random.Random(23)
+    odd = ["Größe", "don't", "x" * 100, "naïve!!", "100,5", "(ab)", "Ω", "été,", ""]
+    batches = [
+        pa.array([" ".join(rng.choice(odd) if rng.random() < 0.2 else f"w{rng.randrange(300)}" for _ in range(50)) for _ in range(4)] + [None])
+        for _ in range(12)
+    ]
+    large = packing.WordCoder(vocabulary)
+    want = [[ids.tolist() for ids in large.encode(b)] for b in batches]
+    monkeypatch.setattr(packing, "CACHED", 60)
+    small = packing.WordCoder(vocabulary)
+    assert [[ids.tolist() for ids in small.encode(b)] for b in batches] == want
+    plain = large.tokenizer.encode(batches[0][0].as_py(), add_special_tokens=False).ids
+    assert want[0][0] == plain
+
+
+def test_long_and_short_lists_agree(spark):
+    rng = random.Random(24)
+    prints = sorted({base ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 3))) for base in (5, 1 << 40) for _ in range(80)})
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    found = []
+    for longest in (0, 5, 64, 10_000):
+        links = simhash.links(df, 2, longest)
+        roots = simhash.components(df.withColumn("label", F.col("fingerprint")), links).collect()
+        found.append(sorted((r.fingerprint, r.root) for r in roots))
+    assert all(f == found[0] for f in found)
