@@ -7,6 +7,8 @@ any column, or mine it from annotated spans.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,17 @@ INNER = (
     r"|(?<=\p{L})(?:---|--|-|–|—)(?=\p{L})"
     r"|(?<=[\p{L}0-9])[:<>=/](?=\p{L})"
 )
+# English words that are two tokens, and abbreviations that keep their full stop.
+NEGATED = (
+    "ai", "are", "ca", "could", "did", "does", "do", "had", "has", "have", "is", "might", "must", "need",
+    "should", "was", "were", "wo", "would",
+)
+SHORTENED = ("s", "m", "d", "ll", "re", "ve")
+JOINED = (("can", "not"), ("gon", "na"), ("got", "ta"), ("wan", "na"), ("lem", "me"), ("gim", "me"))
+ABBREVIATIONS = (
+    "a.m", "p.m", "e.g", "i.e", "vs", "etc", "mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "ph.d", "inc", "ltd",
+    "co", "corp", "dept", "est", "approx", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec",
+)
 # ---- end of fixed values ------------------------------------------------
 
 # Each starts with a cheap test that ordinary letters fail.
@@ -33,13 +46,29 @@ _TRAILING = (
 )
 
 
+# A full stop that belongs to its word is set aside under a character of the private
+# use area until the rest is parted.
+_STOP = "\ue000"
+_ABBREVIATED = rf"(?<![^{WS}{EDGE}])({'|'.join(map(re.escape, ABBREVIATIONS))})\.(?=[{EDGE}.]*+(?![^{WS}]))"
+_ONCE = "|".join([
+    rf"(?<=(?<![^{WS}])(?:{'|'.join(NEGATED)}))n't",
+    rf"(?<=\p{{L}})'(?:{'|'.join(SHORTENED)})",
+    *[rf"(?<=(?<![^{WS}]){a}){b}" for a, b in JOINED],
+])
+_TWO = rf"(?:{_ONCE})(?![^{WS}])"
+
+
 def tokenise(text: Column) -> Column:
     """Lower-case tokens; ``node.js`` and ``.net`` stay whole, ``pci-dss`` is
-    three tokens, ``python.`` is two."""
+    three tokens, ``python.`` is two. ``don't`` is ``do`` and ``n't``, ``it's`` is ``it``
+    and ``'s``, ``cannot`` is ``can`` and ``not``; ``e.g.`` keeps its full stop."""
     text = F.lower(text)
+    text = F.regexp_replace(text, F.lit(_ABBREVIATED), F.lit(f"$1{_STOP}"))
     text = F.regexp_replace(text, F.lit(_INNER), F.lit(" $0 "))
     text = F.regexp_replace(text, F.lit(_LEADING), F.lit("$0 "))
-    return words(F.regexp_replace(text, F.lit(_TRAILING), F.lit(" $0")))
+    text = F.regexp_replace(text, F.lit(_TRAILING), F.lit(" $0"))
+    text = F.regexp_replace(text, F.lit(_TWO), F.lit(" $0"))
+    return words(F.translate(text, _STOP, "."))
 
 
 def gazetteer(phrases: DataFrame, column: str = "phrase") -> DataFrame:

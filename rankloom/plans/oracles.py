@@ -19,6 +19,7 @@ from rankloom.functions.jd_fields import (
 )
 from rankloom.operators.activity import FLAGS
 from rankloom.operators.sampling import QUOTAS
+from rankloom.operators.skills import ABBREVIATIONS, JOINED, NEGATED, SHORTENED
 from rankloom.plans.entities import NOW as NOW_TEXT
 
 NOW = f"TIMESTAMP '{NOW_TEXT}'"
@@ -414,7 +415,15 @@ def _tokens(x: str) -> str:
     )
     plain = f"NOT regexp_matches(w, '^{edge}|({edge}|\\.)$')"  # most words: nothing to part
     parts = f"list_transform(string_split({x}, ' '), lambda w: CASE WHEN {plain} THEN w ELSE array_to_string({word}, ' ') END)"
-    return f"list_filter(string_split(array_to_string({parts}, ' '), ' '), lambda t: t <> '')"
+    x = f"array_to_string({parts}, ' ')"
+    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    for _ in range(2):  # neighbouring hits share a space
+        x = _sub(x, rf"(^| )({short}) \.( |$)", r"\1\2.\3")
+        x = _sub(x, rf"(^| )({'|'.join(NEGATED)})(n't)( |$)", r"\1\2 \3\4")
+        for one, two in JOINED:
+            x = _sub(x, rf"(^| )({one})({two})( |$)", r"\1\2 \3\4")
+    x = _sub(x, rf"([a-z])('(?:{'|'.join(SHORTENED)}))( |$)", r"\1 \2\3")
+    return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
 
 
 GAZ = f"""phrases AS (SELECT lower(p_name) AS skill FROM part UNION SELECT lower(string_split(p_name, ' ')[1]) FROM part

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import cleaning
-from rankloom.operators import ml, relations, sampling, text_stats
+from rankloom.operators import ml, relations, sampling, skills, text_stats
 from rankloom.sources import readers
 
 WORDS = "alpha beta gamma delta one two three four".split()
@@ -178,3 +178,19 @@ def test_cascade_goes_all_the_way(spark):
     assert all(nothing[name].count() == df.count() for name, df in tables.items())
     with pytest.raises(ValueError):
         relations.cascade(tables, keys, [*refs, ("a", "a", "c")], {})
+
+
+@pytest.mark.parametrize(("text", "tokens"), [
+    ("Don't stop, it's fine.", "do n't stop , it 's fine ."),
+    ("I can't; we won't!", "i ca n't ; we wo n't !"),
+    ("cannot gonna gotta lemme", "can not gon na got ta lem me"),
+    ("they're I'd you'll we've i'm", "they 're i 'd you 'll we 've i 'm"),
+    ("e.g. this, i.e. that, etc.", "e.g. this , i.e. that , etc."),
+    ("Dr. No vs. Mr. X, Inc.", "dr. no vs. mr. x , inc."),
+    ("at 5 p.m., feb.. (e.g.)", "at 5 p.m. , feb. . ( e.g. )"),
+    ("isn't. mayn't don'ts o'neill's", "is n't . mayn't don'ts o'neill 's"),
+    ("node.js .net python. pci-dss e.g.x", "node.js .net python . pci - dss e.g.x"),
+])
+def test_words_that_are_two_and_abbreviations(spark, text, tokens):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(skills.tokenise(F.col("t"))).first()[0] == tokens.split()

@@ -20,7 +20,7 @@ from rankloom.plans.entities import Entities
         ("node.js, .net and pci-dss!", ["node.js", ",", ".net", "and", "pci", "-", "dss", "!"]),
         ("(ci/cd) c# c++ att&ck", ["(", "ci", "/", "cd", ")", "c", "#", "c++", "att&ck"]),
         ("a,b 1,2 x:y 3:4 -x-", ["a", ",", "b", "1,2", "x", ":", "y", "3:4", "-x-"]),
-        ("'((don't)).,", ["'", "(", "(", "don't", ")", ")", ".", ","]),
+        ("'((don't)).,", ["'", "(", "(", "do", "n't", ")", ")", ".", ","]),
         ("...", [".", ".", "."]),
         ("x..." + "." * 20000, ["x"] + ["."] * 20003),
         ("a!b .a. (.b)", ["a!b", ".a", ".", "(", ".b", ")"]),
