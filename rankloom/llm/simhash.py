@@ -133,6 +133,7 @@ def components(prints: DataFrame, edges: DataFrame, most_rounds: int = 64) -> Da
     e = edges.select("a", "b")
     e = e.join(label.toDF("a", "u"), "a").join(label.toDF("b", "v"), "b").select("u", "v")
     e = written(e.where("u <> v"), "simhash-edges")
+    before = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -146,13 +147,11 @@ def components(prints: DataFrame, edges: DataFrame, most_rounds: int = 64) -> Da
         least = written(down.groupBy("u").agg(F.min("v").alias("m")), "simhash-least")
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "simhash-edges")
-        before, after = (
-            x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-            for x in (e, now)
-        )
+        after = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         e = now
         if before == after:
             break
+        before = after
     else:
         raise RuntimeError("the components did not settle")
     roots = e.select(F.col("u").alias("label"), F.col("v").alias("root"))
