@@ -198,6 +198,10 @@ def survivors(docs: DataFrame, shingle: int = 3, bits: int = 2, longest: int = 6
         F.coalesce("f.doc_id", none).alias("_id"), F.col("f.text_hash").alias("_hash")
     )
     # The join and the removal of equal rows share the keys, so texts move once.
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_hash": F.xxhash64("text")}
-    kept = docs.withColumns(keys).join(written(chosen, "simhash-survivors"), ["_id", "_hash"], "left_semi")
-    return kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    # The row itself is one column, whatever its columns are called.
+    keyed = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), none).alias("_id"), F.xxhash64("text").alias("_hash"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+    )
+    kept = keyed.join(written(chosen, "simhash-survivors"), ["_id", "_hash"], "left_semi")
+    return kept.dropDuplicates(["_id", "_hash"]).select("_row.*")
