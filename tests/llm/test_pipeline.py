@@ -3,6 +3,7 @@
 import zlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rankloom.llm import packing
@@ -54,3 +55,47 @@ def test_sequences_can_be_built_from_the_result(spark, small):
     key = lambda r: (r.doc_id, r.start)
     assert {key(r): bytes(r.ids) for r in packed} == {key(r): bytes(r.ids) for r in want}
     assert all(len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids) for r in packed)
+
+
+def test_stages_on_rows_out_of_the_ordinary(spark, small):
+    """Null ids and texts, empty and very long texts, repeats, clashing names, no rows."""
+    plain = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
+    some = {r.doc_id: r.text for r in plain.collect()}
+    long = max(some.values(), key=len)
+    odd = [(None, long), (None, None), (9001, None), (9002, ""), (9003, " \t\n"), (9004, (long + "\n") * 40), (7, some[7]), (7, some[7])]
+    rows = spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in odd], plain.schema)
+    names = ("n", "score", "rank", "length", "_hash", "text_hash", "fingerprint", "group", "quality")
+    docs = plain.union(rows).withColumns({name: F.lit("clash") for name in names}).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    none = docs.where("false")
+
+    def kept(name):
+        out = stages[name](spark, docs, small)
+        assert out.columns == docs.columns
+        assert stages[name](spark, none, small).count() == 0
+        found = [tuple(r) for r in out.collect()]
+        assert set(found) <= {tuple(r) for r in docs.collect()}
+        return found
+
+    ruled = kept("quality rules")
+    assert not {9001, 9002, 9003} & {r[0] for r in ruled}
+    assert sum(r[0] == 7 for r in ruled) in (0, 3)  # repeated rows share a verdict
+    good = kept("quality classifier")
+    assert sum(r[0] == 7 for r in good) in (0, 3)
+    single = kept("near duplicates")
+    assert sum(r[0] == 7 for r in single) == 1
+    assert sum(not (r[1] or "").split() for r in single) == 1  # one of the texts without a word
+    pieces = stages["packing"](spark, docs, small).collect()
+    assert stages["packing"](spark, none, small).count() == 0
+    assert {r.doc_id for r in pieces if r.doc_tokens == 1} == {None, 9001, 9002, 9003}
+    whole = [r for r in pieces if r.doc_id == 9004]
+    assert sum(r.length for r in whole) == whole[0].doc_tokens and len(whole) > 2
+    by_sequence = {}
+    for r in pieces:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
