@@ -44,12 +44,8 @@ def stratified_test(
 
 
 def question_union(questions: DataFrame, seed: str, **kwargs) -> DataFrame:
-    """The same test with ``part``, the place of the question's type in a test: one
-    scan and one window draw all types."""
-    part = F.lit(None).cast("int")
-    for i, kind in enumerate(QUOTAS):
-        part = F.when(F.col("question_type") == kind, i).otherwise(part)
-    return stratified_test(questions, seed, quotas=QUOTAS, **kwargs).withColumn("part", part)
+    """The draws of all types together: one scan and one window make them."""
+    return stratified_test(questions, seed, quotas=QUOTAS, **kwargs)
 
 
 def random_number(key: Column, below: Column) -> Column:
