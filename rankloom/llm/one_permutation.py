@@ -11,9 +11,8 @@ fellows in all its buckets against the others, not every pair, and links are
 confirmed on the full sets. Where a bucket then still holds several components, its
 next class is the centre of a star over those not joined with it, round by round,
 until a round has joined nothing or no bucket is open. Every round is linear in the
-members of open buckets. What the stars leave out are pairs of two components whose
-members were both no centre of a bucket they share; the tests and the README's
-figures compare with all pairs.
+members of open buckets. Where buckets are open then, all their pairs of different
+components that no star has compared are, so that no link is left out.
 """
 
 from __future__ import annotations
@@ -193,6 +192,16 @@ def stars(buckets: DataFrame) -> DataFrame:
     )
 
 
+def left_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: the pairs of a bucket's classes in different components, of sizes
+    that can have the likeness."""
+    one = buckets.select("key", F.col("label").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    two = buckets.select("key", F.col("label").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    return two.join(one, "key").where("a > b and ra <> rb").where(
+        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    ).select("a", "b").distinct()
+
+
 def linked_classes(
     classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int
 ) -> DataFrame | None:
@@ -204,28 +213,35 @@ def linked_classes(
     buckets = shared.drop("fellows").join(degree, "label").withColumn("root", F.col("label"))
     wanted = classes.join(degree, "label", "left_semi").select("label", "_id", "_hash")
     sets = written(full_sets(docs, written(wanted, "minhash-wanted"), doc_id, text, size), "minhash-sets")
-    checked, roots = None, None
+    checked, roots, last = None, None, False
     while True:
         centres = written(stars(buckets), "minhash-centres")
         if centres.isEmpty():
             return roots
         open_buckets = buckets.join(centres, "key")
-        pairs = open_buckets.where("root <> of").where(
-            100 * F.least("n", "size") >= percent * F.greatest("n", "size")
-        ).select(F.greatest("label", "centre").alias("a"), F.least("label", "centre").alias("b")).distinct()
+        if last:
+            pairs = left_pairs(open_buckets, percent)
+        else:
+            pairs = open_buckets.where("root <> of").where(
+                100 * F.least("n", "size") >= percent * F.greatest("n", "size")
+            ).select(F.greatest("label", "centre").alias("a"), F.least("label", "centre").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         verdicts = written(confirmed(written(pairs, "minhash-pairs"), sets, percent), "minhash-checked")
         checked = verdicts if checked is None else checked.union(verdicts)
-        if verdicts.where("linked").isEmpty():
+        joined = not verdicts.where("linked").isEmpty()
+        if joined:
+            links = checked.where("linked").select("a", "b")
+            nodes = links.select(F.explode(F.array("a", "b")).alias("label")).distinct()
+            found = components(nodes.select(F.col("label").alias("fingerprint"), "label"), links)
+            roots = written(found.select(F.col("fingerprint").alias("label"), "root"), "minhash-roots")
+        if last:
             return roots
-        links = checked.where("linked").select("a", "b")
-        nodes = links.select(F.explode(F.array("a", "b")).alias("label")).distinct()
-        found = components(nodes.select(F.col("label").alias("fingerprint"), "label"), links)
-        roots = written(found.select(F.col("fingerprint").alias("label"), "root"), "minhash-roots")
+        last = not joined
         # A centre was compared with all of its bucket, so it leaves it.
-        left = open_buckets.where("label <> centre").select("key", "label", "n", "degree")
-        left = left.join(roots, "label", "left").withColumn("root", F.coalesce("root", "label"))
+        left = open_buckets.where("label <> centre").select("key", "label", "n", "degree", "root")
+        if joined:
+            left = left.drop("root").join(roots, "label", "left").withColumn("root", F.coalesce("root", "label"))
         buckets = written(left, "minhash-left")
 
 
