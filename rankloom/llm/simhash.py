@@ -1,36 +1,28 @@
-"""SimHash near-duplicates through an inverted index of fingerprint bytes.
-
-The fingerprints of two texts that differ in at most ``bits`` of their 64 bits
-agree in at least ``8 - bits`` of their eight bytes (the guaranteed matches). A
-list of one byte position and value would hold every 256th text, so four positions
-are listed at a time, each choice of four. A pair's tally over all lists tells how
-many of its bytes agree: ``m`` shared bytes are ``m`` over 4 shared lists. Pairs
-with the tally of the guaranteed matches are kept and verified by their bits.
-
-Exact copies share a fingerprint and enter as one. A list with more than
-``longest`` fingerprints emits no pairs: its members name what they are after
-at most one flipped bit, and two members within ``bits = 2`` meet in a name.
-A name takes the place of a partner, the work stays linear, no link is lost.
+"""SimHash near-duplicates through one-bit neighbours.
+
+A fingerprint names itself and each of the 64 values that are one flipped bit away.
+Two fingerprints that differ in one or two bits have a name in common, and two that
+have one differ in two bits at most, so the bearers of a name are linked in a chain
+in their order. A name is borne by 65 different fingerprints at most: the work and
+the links are linear in the fingerprints, however large a group of near copies is,
+and no link is lost. Exact copies share a fingerprint and enter as one.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import mapped, texts_of
 from rankloom.session import written
 
 SEED = 42
-BYTES = 8
-TOGETHER = 4
 CHUNK = 1 << 16
 FLIPS = [0, *[1 << k for k in range(64)]]
 
@@ -75,50 +67,25 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def postings(prints: DataFrame) -> DataFrame:
-    """``(list_no, value, fingerprint)``: one row for each choice of byte positions."""
-    masks = [sum(0xFF << 8 * p for p in some) for some in itertools.combinations(range(BYTES), TOGETHER)]
-    all_masks = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
-    rows = F.transform(all_masks, lambda m, i: F.struct(i.alias("list_no"), F.col("fingerprint").bitwiseAND(m).alias("value")))
-    return prints.select(F.inline(rows).alias("list_no", "value"), "fingerprint")
-
-
 def links(prints: DataFrame, bits: int = 2, longest: int = 64) -> DataFrame:
     """``(a, b)`` over distinct fingerprints, whose components are those of all
-    pairs at most ``bits`` apart: from short lists each such pair, from long ones
-    a chain through each name that several members bear."""
+    pairs at most ``bits`` apart: a chain through the bearers of each name.
+    ``longest`` is the limit of an earlier form's lists and changes nothing."""
     if not 0 <= bits <= 2:
         raise ValueError("bits must be 0, 1 or 2")
-    key = ["list_no", "value"]
-    lists = postings(prints)
-    # Stored, so that the join has two plain exchanges and a long list can be split.
-    sizes = written(lists.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-lists")
-    shared = written(lists.join(sizes, key), "simhash-postings")
-    members = shared.where(F.col("n") <= longest).groupBy(*key).agg(
-        F.sort_array(F.collect_list("fingerprint")).alias("m")
-    )
-    later = F.transform("m", lambda a, i: F.struct(a.alias("a"), F.slice("m", i + 2, F.size("m")).alias("bs")))
-    tallied = members.select(F.inline(later)).select("a", F.explode("bs").alias("b")).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("shared")
-    )
-    pairs = (
-        tallied.where(F.col("shared") >= math.comb(BYTES - bits, TOGETHER))
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-        .select("a", "b")
-    )
-    hot = shared.where(F.col("n") > longest).select("fingerprint").distinct()
     # At distance 2 either is the other's one-bit neighbour's neighbour. At
     # distance 1 they agree but for one bit, which is masked.
     if bits == 2:
         names = [F.col("fingerprint").bitwiseXOR(F.lit(_signed(f)).cast("long")) for f in FLIPS]
     else:
         names = [F.col("fingerprint").bitwiseAND(F.lit(_signed(~f % (1 << 64))).cast("long")) for f in FLIPS[1:]]
-    name = ["name"] if bits == 2 else ["bit", "name"]
-    stars = hot.select(F.posexplode(F.array(*names)).alias("bit", "name"), F.col("fingerprint").alias("b"))
-    # A name borne by 65 fingerprints at most; one that a single member bears ties nothing.
-    tied = stars.groupBy(*name).agg(F.sort_array(F.collect_list("b")).alias("bs")).where(F.size("bs") > 1)
-    chains = tied.select(F.col("bs")[0].alias("a"), F.explode(F.slice("bs", 2, 65)).alias("b"))
-    return pairs.union(chains).distinct()
+    borne = prints.where(F.lit(bits > 0)).select(
+        F.posexplode(F.array(*names)).alias("bit", "name"), F.col("fingerprint").alias("b")
+    )
+    # The window holds a name's bearers: 65 at most.
+    bearers = Window.partitionBy(*(["name"] if bits == 2 else ["bit", "name"])).orderBy("b")
+    chains = borne.withColumn("a", F.lag("b").over(bearers)).where("a is not null")
+    return chains.select("a", "b").distinct()
 
 
 def components(prints: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
