@@ -39,10 +39,50 @@ def subjective_points(similarity: Column) -> Column:
     return F.coalesce(F.round(kept * 10, 2), F.lit(0.0))
 
 
+def score_similarity(similarity: Column, weight: Column, out_of: int = SUBJECTIVE_POINTS) -> Column:
+    return weight * (subjective_points(similarity) / F.lit(out_of))
+
+
 def score_subjective(
     reference: Column, answer: Column, weight: Column, out_of: int = SUBJECTIVE_POINTS
 ) -> Column:
-    return weight * (subjective_points(cosine(reference, answer)) / F.lit(out_of))
+    return score_similarity(cosine(reference, answer), weight, out_of)
+
+
+def evidence(
+    answers: DataFrame, vectors: DataFrame, results: DataFrame,
+    reference: str = "r_id", answer: str = "g_id", vec_id: str = "vec_id", vector: str = "embedding",
+) -> DataFrame:
+    """``answers`` with what the score of their kind needs: ``similarity`` of the two
+    vectors that ``reference`` and ``answer`` name, and ``all_passed`` (``results``).
+
+    As in joins with ``vectors`` and ``results``, only answers with both vectors are kept,
+    once for each that bears the name. But a vector is fetched for subjective answers
+    alone, once for each pair of names, and no vector travels with an answer: the rest
+    meet the names only. ``answers`` is read several times; store it first.
+    """
+    kind = F.coalesce("question_type", F.lit(""))
+    names = vectors.select(F.col(vec_id).alias("_name"))
+
+    def fetched(name: str, to: str) -> DataFrame:
+        return vectors.select(F.col(vec_id).alias(name), F.col(vector).alias(to))
+
+    written_ones = answers.where(kind == "subjective")
+    compared = (
+        written_ones.select(reference, answer).distinct()
+        .join(fetched(reference, "_a"), reference)
+        .join(fetched(answer, "_b"), answer)
+        .select(reference, answer, cosine(F.col("_a"), F.col("_b")).alias("similarity"))
+    )
+    others = answers.where(kind != "subjective")
+    for side in (reference, answer):
+        others = others.join(names, F.col(side) == F.col("_name")).drop("_name")
+    code = others.where(kind == "code").join(results, "answer_id", "left")
+    return (
+        written_ones.join(compared, [reference, answer])
+        .unionByName(code, allowMissingColumns=True)
+        .unionByName(others.where(kind != "code"), allowMissingColumns=True)
+    )
 
 
 def code_results(runs: DataFrame, strict: bool = False, trim_expected: bool = False) -> DataFrame:
@@ -75,16 +115,20 @@ def score_code(all_passed: Column, weight: Column, out_of: int = CODE_POINTS) ->
 def answer_scores(answers: DataFrame) -> DataFrame:
     """Route and score each answer by its question's type.
 
-    Needs ``question_type, value, correct_answer, reference_vector,
-    answer_vector, all_passed, weight``.
+    Needs ``question_type, value, correct_answer, all_passed, weight`` and either
+    ``reference_vector, answer_vector`` or their ``similarity``.
     """
+    if "similarity" in answers.columns:
+        similarity = F.col("similarity")
+    else:
+        similarity = cosine(F.col("reference_vector"), F.col("answer_vector"))
     kind, value, weight = F.col("question_type"), F.col("value"), F.col("weight")
     choice = kind.isin("mcq", "objective")
     score = (
         F.when(choice, score_choice(value, F.col("correct_answer"), weight))
         .when(
             kind == "subjective",
-            score_subjective(F.col("reference_vector"), F.col("answer_vector"), weight),
+            score_similarity(similarity, weight),
         )
         .when(kind == "code", score_code(F.col("all_passed"), weight))
     )
