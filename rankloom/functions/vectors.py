@@ -84,8 +84,7 @@ def _same_shape(shapes: np.ndarray, used: np.ndarray, numbers: np.ndarray):
             yield rows[at:at + step]
 
 
-@F.arrow_udf(BEST_CHUNKS)
-def best_chunks(wanted: pa.Array, offered: pa.Array) -> pa.Array:
+def closest(wanted: pa.Array, offered: pa.Array) -> pa.Array:
     """Per row: for each vector of ``wanted`` the closest vector of ``offered``.
 
     Both are lists of equally long vectors. Rows with lists of the same lengths
@@ -126,3 +125,6 @@ def best_chunks(wanted: pa.Array, offered: pa.Array) -> pa.Array:
     offsets = np.append(out_start, total)
     ends = pa.array(offsets, pa.int32(), mask=np.append(~used, False))
     return pa.ListArray.from_arrays(ends, hits)
+
+
+best_chunks = F.arrow_udf(closest, BEST_CHUNKS)
