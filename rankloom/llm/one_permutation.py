@@ -12,7 +12,9 @@ confirmed on the full sets. Where a bucket then still holds several components,
 next class is the centre of a star over those not joined with it, round by round,
 until a round has joined nothing or no bucket is open. Every round is linear in the
 members of open buckets. Where buckets are open then, all their pairs of different
-components that no star has compared are, so that no link is left out.
+components are compared, so that no link is left out: those of a bucket of at most
+``LARGE`` classes one by one, at most half as many a class, those of larger ones
+block by block, as matrices and without a row for each pair.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BINS = 512
 BAND = 8
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 DRAWS = 1 << 12
+LARGE = 32
+BLOCK = 256
 
 # ---- hashes of one batch of texts -----------------------------------------
 
@@ -202,6 +206,75 @@ def left_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b").distinct()
 
 
+def shared_sizes(one: list[np.ndarray], two: list[np.ndarray], width: int = 1 << 13) -> np.ndarray:
+    """How many elements each of some sorted sets shares with each of others."""
+    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (x, row), (y, column) = flat(one), flat(two)
+    both = np.intersect1d(x, y)
+    shared = np.zeros((len(one), len(two)), dtype=np.int64)
+    for start in range(0, len(both), width):
+        part = both[start : start + width]
+
+        def present(values: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            matrix = np.zeros((rows, len(part)), dtype=np.float32)
+            matrix[owner[hit], at[hit]] = 1
+            return matrix
+
+        # Exact: at most ``width`` ones are added.
+        shared += (present(x, row, len(one)) @ present(y, column, len(two)).T).astype(np.int64)
+    return shared
+
+
+def cell_links(cell: pa.Table, percent: int) -> pa.Table:
+    """``(a, b)``: the links between the two blocks of a cell, of classes that share a
+    bucket and lie in different components."""
+    labels, roots, sizes, blocks = (cell.column(c).to_numpy() for c in ("label", "root", "n", "block"))
+    low, high = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+    fellows = np.zeros((len(low), len(high)), dtype=bool)
+    keys = cell.column("keys").combine_chunks()
+    key, owner = keys.flatten().to_numpy(), np.repeat(np.arange(len(labels)), keys.value_lengths().to_numpy())
+    row, column = np.full(len(labels), -1), np.full(len(labels), -1)
+    row[low], column[high] = np.arange(len(low)), np.arange(len(high))
+    order = np.argsort(key, kind="stable")
+    for bearers in np.split(owner[order], np.flatnonzero(np.diff(key[order])) + 1):
+        rows, columns = row[bearers], column[bearers]
+        fellows[np.ix_(rows[rows >= 0], columns[columns >= 0])] = True
+    sets = [np.frombuffer(s.as_buffer(), dtype="<u8") for s in cell.column("s")]
+    shared = shared_sizes([sets[i] for i in low], [sets[i] for i in high])
+    either = sizes[low][:, None] + sizes[high][None, :] - shared
+    fellows &= (roots[low][:, None] != roots[high][None, :]) & (100 * shared >= percent * either)
+    i, j = np.nonzero(fellows)
+    one, two = labels[low[i]], labels[high[j]]
+    return pa.table({"a": np.maximum(one, two), "b": np.minimum(one, two)})
+
+
+def family_links(buckets: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: the links that ``left_pairs`` would lead to, without its pairs.
+
+    Classes that buckets tie together are a family, dealt to blocks of about ``block``
+    classes. Every two blocks meet in a cell, which compares them as a matrix: a class goes
+    once to each block of its family, and a task holds two blocks at a time."""
+    least = buckets.groupBy("key").agg(F.min("label").alias("b"))
+    ties = buckets.join(least, "key").select(F.col("label").alias("a"), "b").distinct()
+    nodes = buckets.select(F.col("label").alias("fingerprint"), "label").distinct()
+    family = components(nodes, ties).select(F.col("fingerprint").alias("label"), F.col("root").alias("family"))
+    members = buckets.groupBy("label", "n", "root").agg(F.collect_list("key").alias("keys"))
+    members = written(members.join(family, "label"), "minhash-members")
+    blocks = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("label"), "blocks"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = met.join(sets.select("label", "s"), "label").select(
+        "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "label", "root", "n", "block", "keys", "s",
+    )
+    links = cells.groupBy("family", "low", "high").applyInArrow(lambda cell: cell_links(cell, percent), "a long, b long")
+    return links.where("a <> b").distinct()
+
+
 def linked_classes(
     classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int
 ) -> DataFrame | None:
@@ -220,7 +293,10 @@ def linked_classes(
             return roots
         open_buckets = buckets.join(centres, "key")
         if last:
-            pairs = left_pairs(open_buckets, percent)
+            open_buckets = written(open_buckets, "minhash-open")
+            large = open_buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LARGE)
+            large = written(large.select("key"), "minhash-large")
+            pairs = left_pairs(open_buckets.join(large, "key", "left_anti"), percent)
         else:
             pairs = open_buckets.where("root <> of").where(
                 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
@@ -228,6 +304,9 @@ def linked_classes(
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         verdicts = written(confirmed(written(pairs, "minhash-pairs"), sets, percent), "minhash-checked")
+        if last and not large.isEmpty():
+            links = family_links(open_buckets.join(large, "key", "left_semi"), sets, percent)
+            verdicts = verdicts.union(written(links.withColumn("linked", F.lit(True)), "minhash-family-links"))
         checked = verdicts if checked is None else checked.union(verdicts)
         joined = not verdicts.where("linked").isEmpty()
         if joined:
