@@ -305,7 +305,8 @@ def linked_classes(
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         verdicts = written(confirmed(written(pairs, "minhash-pairs"), sets, percent), "minhash-checked")
         if last and not large.isEmpty():
-            links = family_links(open_buckets.join(large, "key", "left_semi"), sets, percent)
+            families = written(open_buckets.join(large, "key", "left_semi"), "minhash-families")
+            links = family_links(families, sets, percent)
             verdicts = verdicts.union(written(links.withColumn("linked", F.lit(True)), "minhash-family-links"))
         checked = verdicts if checked is None else checked.union(verdicts)
         joined = not verdicts.where("linked").isEmpty()
