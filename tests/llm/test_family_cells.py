@@ -48,3 +48,17 @@ def test_a_large_bucket_makes_no_row_for_each_pair(spark, monkeypatch):
     found = one_permutation.linked_classes(classes, docs, "doc_id", "text", 4, 80)
     assert {(r.label, r.root) for r in found.collect()} == {(10, 10), (11, 10), (40, 40), (41, 40)}
     assert sum(rows) < 16 * N
+
+
+def test_members_of_large_buckets_are_selected_once(spark, monkeypatch):
+    """What the families are made of is a stored table, not a join run again for each of its uses."""
+    docs, classes = _family(spark)
+    plans, family_links = [], one_permutation.family_links
+
+    def seen(buckets, sets, percent):
+        plans.append(buckets._jdf.queryExecution().optimizedPlan().toString())
+        return family_links(buckets, sets, percent)
+
+    monkeypatch.setattr(one_permutation, "family_links", seen)
+    one_permutation.linked_classes(classes, docs, "doc_id", "text", 4, 80)
+    assert plans and not any("Join" in plan for plan in plans)
